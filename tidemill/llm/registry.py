@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import decontaminate, quality, shard, warc
+from tidemill.llm import binary, decontaminate, packing, quality, shard, warc
 from tidemill.llm.common import documents, key_back, stored
 
 
@@ -46,7 +46,24 @@ def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op4_warc_fixity, op5_decontaminate, op6_quality, op8_ring_shards)}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written to blocks in ascending doc_id order and read back from them."""
+    back = binary.read_ids(binary.write_ids(documents(spark, sf_dir), tokenizer_path()))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 2048 ids."""
+    return packing.pack(documents(spark, sf_dir), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op4_warc_fixity, op5_decontaminate, op6_quality, op7_token_ids, op8_ring_shards, op10_packing)}
 
 _OP5 = r"""WITH split AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),

@@ -3,10 +3,18 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import binary, decontaminate, packing, quality, shard, warc
+from tidemill.llm import binary, decontaminate, packing, quality, secrets, shard, warc
 from tidemill.llm.common import documents, key_back, stored
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets, by the fixed patterns and by the automata that their finds train."""
+    docs = documents(spark, sf_dir)
+    out = secrets.scan(docs, secrets.train(docs))
+    n = lambda kind: F.size(F.filter(F.split("base", ","), lambda s: s.startswith(kind))).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *(n(k) for k in secrets.KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records in two replicas; in the second, one byte of every record whose id's hash is 7
     in 1000 is flipped. A row per record: where it lies, its leaf hash in the first, and what the audit says."""
@@ -63,7 +71,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op4_warc_fixity, op5_decontaminate, op6_quality, op7_token_ids, op8_ring_shards, op10_packing)}
+QUERIES = {f.__name__: f for f in (op3_secrets, op4_warc_fixity, op5_decontaminate, op6_quality, op7_token_ids, op8_ring_shards, op10_packing)}
 
 _OP5 = r"""WITH split AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),

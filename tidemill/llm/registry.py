@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import binary, decontaminate, packing, quality, secrets, shard, warc
+from tidemill.llm import binary, decontaminate, packing, quality, secrets, shard, substring, warc
 from tidemill.llm.common import documents, key_back, stored
 
 
@@ -66,12 +66,18 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of windows of 20 words that start earlier elsewhere."""
+    out = substring.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 2048 ids."""
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op3_secrets, op4_warc_fixity, op5_decontaminate, op6_quality, op7_token_ids, op8_ring_shards, op10_packing)}
+QUERIES = {f.__name__: f for f in (op3_secrets, op4_warc_fixity, op5_decontaminate, op6_quality, op7_token_ids, op8_ring_shards, op9_substring_dedup, op10_packing)}
 
 _OP5 = r"""WITH split AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -90,4 +96,12 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM split LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
-ORACLES = {"op5_decontaminate": _OP5}
+_OP9 = r"""WITH split AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) AS win FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM split WHERE len(w) >= 20)),
+again AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
+gone AS (SELECT doc_id, list(DISTINCT pos) AS pos FROM (SELECT doc_id, unnest(generate_series(i, i + 19)) AS pos FROM again) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM split)
+  ANTI JOIN (SELECT doc_id, unnest(pos) AS pos FROM gone) USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM split LEFT JOIN kept USING (doc_id)"""
+
+ORACLES = {"op9_substring_dedup": _OP9, "op5_decontaminate": _OP5}

@@ -3,10 +3,16 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import binary, decontaminate, packing, quality, secrets, shard, substring, warc
+from tidemill.llm import binary, decontaminate, packing, quality, secrets, shard, substring, suffix, warc
 from tidemill.llm.common import documents, key_back, stored
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of strings of 400 bytes that also start elsewhere."""
+    out = suffix.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets, by the fixed patterns and by the automata that their finds train."""
     docs = documents(spark, sf_dir)
@@ -77,7 +83,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op3_secrets, op4_warc_fixity, op5_decontaminate, op6_quality, op7_token_ids, op8_ring_shards, op9_substring_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_secrets, op4_warc_fixity, op5_decontaminate, op6_quality, op7_token_ids, op8_ring_shards, op9_substring_dedup, op10_packing)}
 
 _OP5 = r"""WITH split AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),

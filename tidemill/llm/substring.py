@@ -14,7 +14,6 @@ what is removed; an empty table gives no rows; further columns are left alone.
 """
 
 from collections.abc import Iterator
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import binary, decontaminate, packing, quality, secrets, shard, substring, suffix, warc
+from tidemill.llm import binary, decontaminate, ngram_join, packing, quality, secrets, shard, substring, suffix, warc
 from tidemill.llm.common import documents, key_back, stored
 
 
@@ -13,6 +13,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets, by the fixed patterns and by the automata that their finds train."""
     docs = documents(spark, sf_dir)
@@ -83,7 +88,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_secrets, op4_warc_fixity, op5_decontaminate, op6_quality, op7_token_ids, op8_ring_shards, op9_substring_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_join, op3_secrets, op4_warc_fixity, op5_decontaminate, op6_quality, op7_token_ids, op8_ring_shards, op9_substring_dedup, op10_packing)}
 
 _OP5 = r"""WITH split AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -110,4 +115,18 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS
   ANTI JOIN (SELECT doc_id, unnest(pos) AS pos FROM gone) USING (doc_id, pos) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM split LEFT JOIN kept USING (doc_id)"""
 
-ORACLES = {"op9_substring_dedup": _OP9, "op5_decontaminate": _OP5}
+_OP2 = r"""WITH RECURSIVE split AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM split WHERE len(w) > 0)),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS digest FROM sh GROUP BY doc_id),
+every AS (SELECT doc_id, coalesce(n, 0) AS n, coalesce(digest, '') AS digest FROM split LEFT JOIN sets USING (doc_id)),
+reps AS (SELECT digest, min(doc_id) AS rep, min(n) AS n, count(*) AS n_copies FROM every GROUP BY digest),
+inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id
+  WHERE a.doc_id IN (SELECT rep FROM reps) AND b.doc_id IN (SELECT rep FROM reps) GROUP BY ALL),
+pairs AS (SELECT a, b FROM inter JOIN reps x ON x.rep = a JOIN reps y ON y.rep = b WHERE 5 * n_both >= 4 * (x.n + y.n - n_both)),
+link AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT rep AS node, rep AS other FROM reps UNION SELECT node, b FROM reach JOIN link ON other = a),
+root AS (SELECT node, min(other) AS class_id FROM reach GROUP BY node),
+links AS (SELECT a AS node, count(*) AS n_links FROM link GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, n_copies FROM every JOIN reps USING (digest) JOIN root ON root.node = rep LEFT JOIN links ON links.node = rep"""
+
+ORACLES = {"op2_ngram_join": _OP2, "op9_substring_dedup": _OP9, "op5_decontaminate": _OP5}

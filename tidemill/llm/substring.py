@@ -47,7 +47,7 @@ def word_hashes(data: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def word_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """doc_id and number of words of documents, and all their words' hashes, some megabytes at a time."""
     docs, held, size = [], [], 0
 
@@ -110,7 +110,7 @@ _KINDS = {"anchor": "<u8", "doc": "<i8", "at": "<i8", "n": "<i4", "own": "<u8"}
 def _sketch(bits: int, window: int, run: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = TaskSketch(bits)
-        for x in _stretches(batches):
+        for x in word_stretches(batches):
             yield from sketch.add(Windows(*x, window, run).anchor)
         yield sketch.rows()
 
@@ -119,7 +119,7 @@ def _sketch(bits: int, window: int, run: int):
 
 def _send(estimate, buckets: int, window: int, run: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, x in enumerate(_stretches(batches)):
+        for turn, x in enumerate(word_stretches(batches)):
             w = Windows(*x, window, run)
             keep = estimate.value.repeated(w.anchor)
             anchor, doc, at, own = w.pick(keep)

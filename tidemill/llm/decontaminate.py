@@ -29,9 +29,9 @@ def words(text: Column) -> Column:
 
 
 def _windows(array: Column, n: int) -> Column:
-    """(at, window) of each run of n words."""
+    """Each run of n words as one string."""
     starts = F.slice(array, F.lit(1), F.greatest(F.size(array) - (n - 1), F.lit(0)))
-    return F.transform(starts, lambda _, i: F.struct(i.alias("at"), F.array_join(F.slice(array, i + 1, F.lit(n)), " ").alias("window")))
+    return F.transform(starts, lambda _, i: F.array_join(F.slice(array, i + 1, F.lit(n)), " "))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -52,7 +52,7 @@ def hits(docs: DataFrame, windows: DataFrame, most: int = MOST_BROADCAST) -> Dat
     found = None
     for n in lengths:
         own = distinct.filter(F.col("len") == n)
-        placed = split.select("doc_id", F.explode(_windows(F.col("w"), n)).alias("x")).select("doc_id", "x.at", "x.window")
+        placed = split.select("doc_id", F.posexplode(_windows(F.col("w"), n)).alias("at", "window"))
         joined = placed.join(F.broadcast(own) if small else own, "window")
         found = joined if found is None else found.unionByName(joined)
     return found if found is not None else split.sparkSession.createDataFrame([], "window string, doc_id long, at int, len int")
@@ -61,7 +61,7 @@ def hits(docs: DataFrame, windows: DataFrame, most: int = MOST_BROADCAST) -> Dat
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = MOST_BROADCAST) -> DataFrame:
     """For each document that is hit: doc_id, n_hit words, items (sorted ids) and spans (merged word ranges)."""
     runs = stored(benchmark_windows(benchmark, window), "benchmark-windows")
-    found = hits(docs, runs, most)
+    found = stored(hits(docs, runs, most), "benchmark-hits")
     # A document's hits fit in a row, being fewer than its words.
     by_doc = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "len"))).alias("at"), F.collect_set("window").alias("windows"))
     start = F.array().cast("array<struct<from:int,to:int>>")

@@ -13,7 +13,7 @@ benchmark hits nothing; further columns are left alone.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import doc_key, key_back, stored, texts
+from tidemill.llm.common import NO_ID, doc_key, key_back, stored, texts
 
 WINDOW = 13
 #: A broadcast of so many windows takes some 200 MB at most.
@@ -90,5 +90,5 @@ def report(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    out = report(docs, benchmark, share).filter("contaminated").select(doc_key().alias("_d_id")).distinct()
-    return docs.join(out, doc_key() == F.col("_d_id"), "left_anti")
+    out = report(docs, benchmark, share).filter("contaminated").select(doc_key().alias("gone")).distinct()
+    return docs.join(out, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == out["gone"], "left_anti")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.anchors import Rolling, mixed, spread
-from tidemill.llm.common import doc_key, key_back, stored, texts
+from tidemill.llm.common import NO_ID, doc_key, key_back, stored, texts
 from tidemill.llm.graph import components
 from tidemill.llm.substring import word_hashes, word_stretches
 
@@ -243,5 +243,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each near-duplicate class the document with the smallest id, with all its columns."""
-    first = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", doc_key()).alias("_k")).distinct()
-    return docs.join(first, doc_key() == F.col("_k"), "left_semi")
+    first = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(doc_key().alias("kept")).distinct()
+    return docs.join(first, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == first["kept"], "left_semi")

@@ -17,9 +17,11 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import stored
+
 #: White space between words, as a pattern.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Names of the columns that hold what the rules look at. They have a prefix, so that they don't clash.
+#: Prefix of the columns that hold what the rules look at.
 P = "_q_"
 
 
@@ -27,9 +29,9 @@ def _without(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def with_features(docs: DataFrame) -> DataFrame:
-    """Adds _q_n_words, _q_word_chars, _q_n_symbols, _q_n_dup_lines, _q_n_repeat_words, _q_n_lines, _q_n_upper and _q_n_bangs."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+def with_features(docs: DataFrame, column: str = "text") -> DataFrame:
+    """For the texts in a column adds _q_n_words, _q_word_chars, _q_n_symbols, _q_n_dup_lines, _q_n_repeat_words, _q_n_lines, _q_n_upper and _q_n_bangs."""
+    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
     c = lambda name: F.col(P + name)
     df = docs.withColumns({
         P + "words": F.filter(F.split(text, SPACE), lambda w: w != ""),
@@ -143,7 +145,11 @@ def posterior(model: Model) -> Column:
 
 
 def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose base holds and whose posterior quality is at least so much; columns as they were."""
-    featured = with_features(docs)
+    """The documents whose base holds and whose posterior quality is at least so much; columns as they were.
+
+    The features are computed once and stored with the documents, whose own columns, of whatever names, lie
+    in a struct meanwhile.
+    """
+    featured = stored(with_features(docs.select(F.struct("*").alias("row")), "row.text"), "quality-rows")
     model = fit(pattern_counts(featured))
-    return featured.filter(~base_failed() & (posterior(model) >= least)).select(*[f"`{c}`" for c in docs.columns])
+    return featured.filter(~base_failed() & (posterior(model) >= least)).select("row.*")

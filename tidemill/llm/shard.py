@@ -60,13 +60,14 @@ def plan(counts: dict[int, int], nodes: list[tuple[int, int]], bounds: list[int]
 
 def assign(rows: DataFrame, key: Column, shards: int = 16, virtual: int = 256, slack: float = 0.0) -> DataFrame:
     """Adds shard and slot (gapless from 0 in each shard). The key decides the cell, a shard's bound the rest."""
-    placed = rows.withColumn("_s_hash", F.xxhash64(key)).withColumn("_s_cell", F.shiftrightunsigned("_s_hash", 48).cast("int"))
+    # The rows' own columns, of whatever names, lie in a struct meanwhile.
+    placed = rows.select(F.struct("*").alias("row"), key.alias("_s_key")).withColumn("_s_hash", F.xxhash64("_s_key")).withColumn("_s_cell", F.shiftrightunsigned("_s_hash", 48).cast("int"))
     counts = {r["_s_cell"]: r["n"] for r in placed.groupBy("_s_cell").agg(F.count("*").alias("n")).collect()}  # 2^16 rows at most
     total = sum(counts.values())
     even = [total // shards + (s < total % shards) for s in range(shards)]
     bounds = [max(ceil((1 + slack) * total / shards), even[s]) if slack else even[s] for s in range(shards)]
     ranges = plan(counts, ring(rows.sparkSession, shards, virtual), bounds)
     ranges = rows.sparkSession.createDataFrame(ranges, _PLAN).select(*(F.col(c).alias(f"_s_{c}") for c in ("cell", "first", "last", "shard", "base")))
-    rank = F.row_number().over(W.partitionBy("_s_cell").orderBy("_s_hash", key)).cast("long") - 1
+    rank = F.row_number().over(W.partitionBy("_s_cell").orderBy("_s_hash", "_s_key")).cast("long") - 1
     out = placed.withColumn("_s_rank", rank).join(F.broadcast(ranges), "_s_cell").filter((F.col("_s_rank") >= F.col("_s_first")) & (F.col("_s_rank") < F.col("_s_last")))
-    return out.select(*[f"`{c}`" for c in rows.columns], F.col("_s_shard").alias("shard"), (F.col("_s_base") + F.col("_s_rank") - F.col("_s_first")).alias("slot"))
+    return out.select("row.*", F.col("_s_shard").alias("shard"), (F.col("_s_base") + F.col("_s_rank") - F.col("_s_first")).alias("slot"))

@@ -83,6 +83,15 @@ def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(total)
 
 
+def groups(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """First and last + 1 of each run of rows with equal keys."""
+    if not len(keys[0]):
+        return []
+    new = np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0)))
+    at = [*np.flatnonzero(new).tolist(), len(keys[0])]
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
 def collapse(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc, first place and length of the runs of consecutive places, for places sorted by document."""
     if not len(at):

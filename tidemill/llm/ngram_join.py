@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.anchors import Rolling, mixed, spread
+from tidemill.llm.anchors import Rolling, groups, mixed, spread
 from tidemill.llm.common import NO_ID, doc_key, key_back, stored, texts
 from tidemill.llm.graph import components
 from tidemill.llm.substring import word_hashes, word_stretches
@@ -110,11 +110,10 @@ def _band_edges(table: pa.Table) -> pa.Table:
     """Edges that connect the classes of each band as all its likely pairs would."""
     key = np.lexsort(tuple(table.column(k).to_numpy() for k in ("rep", "part", "key")))
     table = table.take(pa.array(key))
-    rep, at = table.column("rep").to_numpy(), [table.column(k).to_numpy() for k in ("key", "part")]
+    rep = table.column("rep").to_numpy()
     low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(-1, HASHES)
-    new = np.flatnonzero(np.concatenate(([True], (at[0][1:] != at[0][:-1]) | (at[1][1:] != at[1][:-1]))))
     a, b = [], []
-    for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(rep)], strict=True):
+    for lo, hi in groups(*(table.column(k).to_numpy() for k in ("key", "part"))):
         group, own = low[lo:hi], rep[lo:hi]
         reached = np.zeros(hi - lo, bool)
         reached[0] = True
@@ -150,8 +149,7 @@ def _intersections(of: np.ndarray, own: np.ndarray, m: int) -> np.ndarray:
     _, column = np.unique(column, return_inverse=True)
     out = np.zeros((m, m), np.float32)
     wide = max(64, (1 << 22) // max(m, 1))
-    edge = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else -1) + 1, wide))
-    for a, b in zip(edge, [*edge[1:], len(column)], strict=True):
+    for a, b in groups(column // wide):
         part = np.zeros((m, wide), np.float32)
         part[d[a:b], column[a:b] % wide] = 1
         out += part @ part.T
@@ -167,10 +165,8 @@ def _verify(table: pa.Table) -> pa.Table:
     own_block = table.column("own").to_numpy()
     low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(-1, HASHES)
     text = table.column("text")
-    new = np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0)))
-    edge = np.flatnonzero(new)
     out = [[], [], []]
-    for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(rep)], strict=True):
+    for lo, hi in groups(*keys):
         m = hi - lo
         words = [word_hashes(text[i].as_py().encode()) for i in range(lo, hi)]
         of, own = shingle_sets(np.array([len(w) for w in words]), np.concatenate(words))

@@ -16,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.anchors import groups
+
 ROWS = (0xC2B2AE3D27D4EB4F, 0x9E3779B185EBCA87)
 MOST_BITS, RANGE_BITS = 29, 20
 HOT = 20_000
@@ -51,8 +53,7 @@ class TaskSketch:
         for row in range(len(ROWS)):
             cells, sums = np.unique(_cells(hashes, row, self.bits), return_counts=True)
             shard = cells >> RANGE_BITS
-            edges = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(cells) else []
-            for a, b in zip(edges, [*edges[1:], len(cells)], strict=True):
+            for a, b in groups(shard):
                 offset = (cells[a:b] & ((1 << RANGE_BITS) - 1)).astype("<u4")
                 out.append((row << 16 | int(shard[a]), self.part, offset.tobytes(), np.minimum(sums[a:b], 0xFFFF).astype("<u2").tobytes()))
         return _batch(out)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.anchors import Rolling, byte_values, collapse, ranges, smallest, spread
+from tidemill.llm.anchors import Rolling, byte_values, collapse, groups, ranges, smallest, spread
 from tidemill.llm.common import key_back, texts
 from tidemill.llm.sketch import SCHEMA, Estimate, TaskSketch, bits_for
 
@@ -53,12 +53,11 @@ def word_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
 
     def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         # Short texts are hashed together; a space between them keeps their words apart.
-        whole = word_hashes(b" ".join(texts))
-        data = np.frombuffer(b" ".join(texts), np.uint8)
-        ends = np.cumsum([len(x) + 1 for x in texts])
-        inside = np.concatenate(([False], ~_SPACE[data]))
-        begun = np.cumsum(inside[1:] & ~inside[:-1])
-        upto = begun[np.minimum(ends - 1, len(data)) - 1] if len(data) else np.zeros(len(texts), np.int64)
+        joint = b" ".join(texts)
+        inside = np.concatenate(([False], ~_SPACE[np.frombuffer(joint, np.uint8)]))
+        begun = np.concatenate(([0], np.cumsum(inside[1:] & ~inside[:-1])))
+        upto = begun[np.cumsum([len(x) + 1 for x in texts]) - 1]
+        whole = word_hashes(joint)
         return np.diff(np.concatenate(([0], upto))), whole
 
     for batch in batches:
@@ -142,10 +141,9 @@ def _send(estimate, buckets: int, window: int, run: int):
                 same = (bucket[1:] == bucket[:-1]) & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1] + 1) & (anchor[1:] == anchor[:-1])
                 new = np.flatnonzero(np.concatenate(([True], ~same)))
                 n = np.diff(np.concatenate((new, [len(own)])))
-                edge = np.flatnonzero(np.concatenate(([True], np.diff(bucket[new]) != 0)))
-                for a, b in zip(edge, [*edge[1:], len(new)], strict=True):
+                for a, b in groups(bucket[new]):
                     i = new[a:b]
-                    rows.append((int(bucket[i[0]]), anchor[i], doc[i], at[i], n[a:b], own[i[0] : (new[b] if b < len(new) else len(own))]))
+                    rows.append((int(bucket[i[0]]), anchor[i], doc[i], at[i], n[a:b], own[i[0] : i[0] + n[a:b].sum()]))
             cols = [pa.array([r[0] for r in rows], pa.int32())]
             cols += [pa.array([r[i].astype(t).tobytes() for r in rows], pa.binary()) for i, t in enumerate(_KINDS.values(), 1)]
             yield pa.RecordBatch.from_arrays(cols, names=["bucket", *_KINDS])

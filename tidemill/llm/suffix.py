@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.anchors import Rolling, byte_values, ranges, smallest, spread
+from tidemill.llm.anchors import Rolling, byte_values, groups, ranges, smallest, spread
 from tidemill.llm.common import key_back, stored, texts
 from tidemill.llm.sketch import SCHEMA, Estimate, TaskSketch, bits_for
 
@@ -103,12 +103,6 @@ _ALL = _RANGES | _SINGLE | _SETTLED
 _SENT = "bucket int, " + ", ".join(f"{k} binary" for k in _ALL)
 
 
-def _groups(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
-    edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
-    for a, b in zip(edge, [*edge[1:], len(bucket)], strict=True):
-        yield int(bucket[a]), slice(a, b)
-
-
 def _equal_before(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by the keys; in it, which rows equal the row before, and which have any equal."""
     order = np.lexsort(keys)
@@ -137,9 +131,9 @@ def _send(estimate, splitters: np.ndarray, buckets: int, window: int, lead: int)
             own = own[order[~again]]
             bucket = np.searchsorted(splitters, s.leads(own), "right")
             sort = np.argsort(bucket, kind="stable")
-            for k, part in _groups(bucket[sort]):
-                i = own[sort[part]]
-                rows[k] = {"doc": s.doc[i], "at": s.at[i], "off": s.anchor[i] - s.first[i], "n": s.n[i], "bytes": s.data[spread(s.first[i], s.n[i] + window - 1)]}
+            for lo, hi in groups(bucket[sort]):
+                i = own[sort[lo:hi]]
+                rows[int(bucket[sort[lo]])] = {"doc": s.doc[i], "at": s.at[i], "off": s.anchor[i] - s.first[i], "n": s.n[i], "bytes": s.data[spread(s.first[i], s.n[i] + window - 1)]}
             # Windows of very common anchors, one by one.
             hot = keep[common]
             start = spread(s.first[hot], s.n[hot])
@@ -153,9 +147,9 @@ def _send(estimate, splitters: np.ndarray, buckets: int, window: int, lead: int)
                 i = order[~again]
                 bucket = (a[i] % np.uint64(buckets)).astype(np.int64)
                 sort = np.argsort(bucket, kind="stable")
-                for k, part in _groups(bucket[sort]):
-                    j = i[sort[part]]
-                    rows.setdefault(k, {}).update({"w_doc": doc[j], "w_at": at[j], "w_a": a[j], "w_b": b[j]})
+                for lo, hi in groups(bucket[sort]):
+                    j = i[sort[lo:hi]]
+                    rows.setdefault(int(bucket[sort[lo]]), {}).update({"w_doc": doc[j], "w_at": at[j], "w_a": a[j], "w_b": b[j]})
             if marks:
                 m = np.array(marks, np.int64)
                 rows.setdefault(turn * 7919 % buckets, {}).update(dict(zip(_SETTLED, m.T, strict=True)))

@@ -28,10 +28,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records in two replicas; in the second, one byte of every record whose id's hash is 7
-    in 1000 is flipped. A row per record: where it lies, its leaf hash in the first, and what the audit says."""
+    in 1000 is replaced. A row per record: where it lies, its leaf hash in the first, and what the audit says."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     a = warc.write_replica(pages, "replica-a")
-    hit = F.pmod(F.xxhash64("page_id"), F.lit(1000)) == 7
+    hit = warc.number_of("page_id") % 1000 == 7
     flipped = F.concat(F.expr("substring(record, 1, length - 10)"), F.lit(bytearray(b"#")), F.expr("substring(record, length - 8)"))
     b = stored(a.withColumn("record", F.when(hit, flipped).otherwise(F.col("record"))), "replica-b")
     tree_a, tree_b = warc.tree(a, "tree-a"), warc.tree(b, "tree-b")
@@ -129,4 +129,14 @@ root AS (SELECT node, min(other) AS class_id FROM reach GROUP BY node),
 links AS (SELECT a AS node, count(*) AS n_links FROM link GROUP BY a)
 SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, n_copies FROM every JOIN reps USING (digest) JOIN root ON root.node = rep LEFT JOIN links ON links.node = rep"""
 
-ORACLES = {"op2_ngram_join": _OP2, "op9_substring_dedup": _OP9, "op5_decontaminate": _OP5}
+#: ~ stands for a line end within a literal.
+_OP4 = r"""WITH r AS (
+  SELECT page_id, coalesce(url, '') AS url, 'WARC/1.1~WARC-Type: resource~WARC-Record-ID: <urn:page:' || page_id || '>~WARC-Target-URI: ' || coalesce(url, '') || '~Content-Type: text/html~WARC-Block-Digest: sha256:'
+    || sha256(coalesce(html, '')) || '~Content-Length: ' || strlen(coalesce(html, '')) || '~~' || coalesce(html, '') || '~~' AS record FROM pages),
+s AS (SELECT *, CAST(('0x' || substr(md5(page_id || '|' || url), 1, 8))::BIGINT % 256 AS INT) AS segment, CAST(strlen(record) AS BIGINT) AS length FROM r),
+p AS (SELECT *, row_number() OVER w - 1 AS seq, CAST(coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM s WINDOW w AS (PARTITION BY segment ORDER BY page_id, url, length))
+SELECT page_id, segment, seq, start AS "offset", length, sha256(seq || ':' || start || ':' || length || ':' || sha256(record)) AS leaf,
+  CASE WHEN ('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8))::BIGINT % 1000 = 7 THEN 'changed' ELSE 'equal' END AS state FROM p"""
+_OP4 = _OP4.replace("~", "' || chr(13) || chr(10) || '")
+
+ORACLES = {"op4_warc_fixity": _OP4, "op2_ngram_join": _OP2, "op9_substring_dedup": _OP9, "op5_decontaminate": _OP5}

@@ -31,11 +31,16 @@ def record(page_id: Column, url: Column, body: Column) -> Column:
     return F.encode(F.concat(head, text(body), F.lit("\r\n\r\n")), "utf-8")
 
 
+def number_of(*columns: str) -> Column:
+    """A 32-bit number from columns' values, by a hash that SQL engines share."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *columns).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def write_replica(pages: DataFrame, name: str, segments: int = SEGMENTS) -> DataFrame:
     """Serialises pages into segments dealt by a hash of the id, in order of id, with offsets; stored and read back."""
     w = W.partitionBy("segment").orderBy("page_id", "url", "length")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    rows = rows.select(F.pmod(F.xxhash64("page_id", "url"), F.lit(segments)).cast("int").alias("segment"), "*", F.octet_length("record").cast("long").alias("length"))
+    rows = rows.select((number_of("page_id", "url") % segments).cast("int").alias("segment"), "*", F.octet_length("record").cast("long").alias("length"))
     rows = rows.withColumns({"seq": F.row_number().over(w).cast("long") - 1, "offset": F.coalesce(F.sum("length").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))})
     return stored(rows.select("segment", "seq", "page_id", "offset", "length", "record"), name)
 

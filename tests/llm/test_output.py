@@ -123,6 +123,18 @@ def test_little_padding(spark, sf_dir):
     assert out[0] > 0.97 * 2048 * out[1]
 
 
+def test_stored_tables_can_be_cleared(spark):
+    from pathlib import Path
+
+    from tidemill.llm.common import _paths, clear_stored, shared_dir, stored
+
+    df = stored(spark.range(5), "five")
+    path = Path(_paths[-1].removeprefix("file://"))
+    assert df.count() == 5 and path.is_dir() and str(path).startswith(shared_dir(spark).removeprefix("file://"))
+    _paths[:] = _paths[-1:]
+    assert clear_stored(spark) == 1 and not path.exists()
+
+
 def test_shards(spark):
     docs = cases.frame(spark)
     out = shard.assign(docs, F.coalesce("doc_id", F.xxhash64("text")), 5).collect()

@@ -19,11 +19,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+_paths: list[str] = []
+
+
+def clear_stored(spark: SparkSession) -> int:
+    """Deletes the tables that this process has stored so far, once no result that reads them is needed any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = 0
+    while _paths:
+        path = jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows to a new table in the shared folder and reads them from there: lineage ends here, and
-    a lost executor costs no more than its own tasks. Like checkpoints, the tables stay until the folder is cleared."""
+    a lost executor costs no more than its own tasks. Like checkpoints, the tables stay until ``clear_stored`` or the cluster clears them."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
+    df.write.parquet(path)
+    _paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -35,7 +35,7 @@ from tidemill.llm.sketch import SCHEMA, Estimate, TaskSketch, bits_for
 
 WINDOW, LEAD = 400, 32
 #: Window starts looked at together, bytes of all texts that one bucket stands for, and leading bytes sampled.
-STRETCH, BUCKET, SAMPLE = 2 << 20, 6 << 20, 50_000
+STRETCH, BUCKET, SAMPLE = 1 << 19, 6 << 20, 50_000
 _MARKS = "doc_id long, start long, stop long"
 
 

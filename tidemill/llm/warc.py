@@ -16,7 +16,8 @@ from pyspark.sql import Window as W
 from tidemill.llm.common import stored
 
 FANOUT = 32
-SEGMENTS = 256
+#: At least so many segments; more where they would be larger than so many bytes of page texts on average.
+SEGMENTS, SEGMENT_BYTES = 256, 128 << 20
 
 
 def record(page_id: Column, url: Column, body: Column) -> Column:
@@ -36,8 +37,10 @@ def number_of(*columns: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *columns).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def write_replica(pages: DataFrame, name: str, segments: int = SEGMENTS) -> DataFrame:
+def write_replica(pages: DataFrame, name: str, segments: int | None = None) -> DataFrame:
     """Serialises pages into segments dealt by a hash of the id, in order of id, with offsets; stored and read back."""
+    if segments is None:
+        segments = max(SEGMENTS, (pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0) // SEGMENT_BYTES)
     w = W.partitionBy("segment").orderBy("page_id", "url", "length")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
     rows = rows.select((number_of("page_id", "url") % segments).cast("int").alias("segment"), "*", F.octet_length("record").cast("long").alias("length"))

@@ -114,18 +114,18 @@ def _band_edges(table: pa.Table) -> pa.Table:
     low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(-1, HASHES)
     a, b = [], []
     for lo, hi in groups(*(table.column(k).to_numpy() for k in ("key", "part"))):
-        group, own = low[lo:hi], rep[lo:hi]
-        reached = np.zeros(hi - lo, bool)
-        reached[0] = True
-        found = likely(group[0], group)
-        reached[found] = True
-        a.append(np.full(len(found), own[0]))
-        b.append(own[found])
-        for i in np.flatnonzero(~reached):
+        group, own, m = low[lo:hi], rep[lo:hi], hi - lo
+        label = np.arange(m)
+        for i in range(m):
+            if i and not label[i]:
+                continue  # the first class meets all; later ones do so only if they aren't connected to it yet
             found = likely(group[i], group)
-            a.append(np.full(len(found), own[i]))
-            b.append(own[found])
-    a, b = np.concatenate(a), np.concatenate(b)
+            other, at = np.unique(label[found], return_index=True)
+            new = other != label[i]
+            a.append(np.full(int(new.sum()), own[i]))
+            b.append(own[found[at[new]]])
+            label[np.isin(label, other)] = other[0]
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
     return pa.table({"a": pa.array(a[a != b], pa.int64()), "b": pa.array(b[a != b], pa.int64())})
 
 
@@ -215,7 +215,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     banded = stored(banded.join(shared, "key"), "bands")
     met = _blocks(banded.join(classes.select("rep", "low"), "rep"), "size", BAND, "rep").withColumn("part", F.col("one") * 100_000 + F.col("two"))
-    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 4
+    tasks = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = 4 * tasks
     bucket = F.pmod(F.xxhash64("key", "part"), F.lit(parts)).alias("bucket")
     edges = met.select(bucket, "key", "part", "rep", "low").groupBy("bucket").applyInArrow(_band_edges, "a long, b long")
     coarse = components(edges)
@@ -228,7 +229,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = _blocks(own, "size", BLOCK, "rep")
     # Small components share buckets by their root; the pairs of blocks of a large one have buckets of their own.
     bucket = F.pmod(F.xxhash64("comp", "one", "two"), F.lit(parts)).alias("bucket")
-    verified = stored(own.select(bucket, "comp", "one", "two", "own", "rep", "low", "text").groupBy("bucket").applyInArrow(_verify, "node long, root long, links long"), "links")
+    # The work grows faster than the bytes, so the tasks' number is set rather than coalesced.
+    own = own.select(bucket, "comp", "one", "two", "own", "rep", "low", "text").repartition(tasks, "bucket")
+    verified = stored(own.groupBy("bucket").applyInArrow(_verify, "node long, root long, links long"), "links")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     final = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     found = classes.select(*alike, "rep", "n_copies").join(links, classes["rep"] == links["node"], "left").drop("node")

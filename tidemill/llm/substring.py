@@ -26,7 +26,7 @@ from tidemill.llm.sketch import SCHEMA, Estimate, TaskSketch, bits_for
 
 WINDOW, RUN = 20, 6
 #: Bytes of text looked at together, and bytes of all texts that one bucket stands for.
-STRETCH, BUCKET = 4 << 20, 8 << 20
+STRETCH, BUCKET = 2_000_000, 8 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

@@ -11,6 +11,7 @@ damaged block raises an error.
 """
 
 from collections.abc import Iterator
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,9 @@ from tidemill.llm.rangecoder import pack_block, unpack_block
 from tidemill.llm.tokens import END, words
 
 VOCABULARY = 49408
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 _BLOCKS = "part int, block int, before long, n_tokens long, payload binary"
-_DOCS = "part int, doc_id long, at long, n_tokens long, ids binary"
+_DOCS = "part int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
 
 def _write(path: str, vocabulary: int, block: int):
@@ -62,24 +63,31 @@ def write_ids(docs: DataFrame, path: str, vocabulary: int = VOCABULARY, block: i
     return stored(ordered.mapInArrow(_write(path, vocabulary, block), _BLOCKS), "token-blocks")
 
 
-def _read(vocabulary: int):
+def _read(vocabulary: int, with_ids: bool):
+    names = [x.split()[0] for x in _DOCS.split(", ")] + ["ids"] * with_ids
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, before, payload in zip(*(batch.column(k).to_pylist() for k in ("part", "before", "payload")), strict=True):
                 docs, sizes, ids = unpack_block(payload, vocabulary)
                 to = np.cumsum(np.array(sizes, np.int64))
                 raw = memoryview(ids.tobytes())
+                cuts = [raw[4 * (b - n) : 4 * b] for b, n in zip(to.tolist(), sizes, strict=True)]
                 cols = [pa.array(np.full(len(docs), part, np.int32)), pa.array(docs, pa.int64()), pa.array(before + to - sizes), pa.array(sizes, pa.int64())]
-                cuts = [bytes(raw[4 * (b - n) : 4 * b]) for b, n in zip(to.tolist(), sizes, strict=True)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(cuts, pa.binary())], names=["part", "doc_id", "at", "n_tokens", "ids"])
+                cols.append(pa.array([zlib.crc32(x) for x in cuts], pa.int64()))
+                if with_ids:
+                    cols.append(pa.array([bytes(x) for x in cuts], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
-def read_ids(blocks: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids (unsigned 32-bit, little-endian) of each document."""
-    parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row per part, far fewer than blocks
+def read_ids(blocks: DataFrame, vocabulary: int = VOCABULARY, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, unless they aren't wanted, the ids
+    (unsigned 32-bit, little-endian) of each document, all decoded from the blocks."""
+    # A row per part: their number is the number of partitions that wrote them, some 100,000 at most, so it's broadcast.
+    parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
     parts = parts.select("part", base.alias("base"))
-    out = blocks.select("part", "before", "payload").mapInArrow(_read(vocabulary), _DOCS).join(parts, "part")
-    return out.select(key_back(F.col("doc_id")).alias("doc_id"), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    out = blocks.select("part", "before", "payload").mapInArrow(_read(vocabulary, with_ids), _DOCS + ", ids binary" * with_ids).join(F.broadcast(parts), "part")
+    return out.select(key_back(F.col("doc_id")).alias("doc_id"), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)

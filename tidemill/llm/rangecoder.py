@@ -28,8 +28,8 @@ class Model:
 
     def __init__(self, ids: int, lanes: int):
         self.ids, self.steps = ids, 0
-        self.after1 = np.zeros(ids, np.int64)  # id << 3 | confidence
-        self.after2 = np.zeros(1 << CONTEXT_BITS, np.int64)
+        self.after1 = np.zeros(ids, np.int32)  # id << 3 | confidence
+        self.after2 = np.zeros(1 << CONTEXT_BITS, np.int32)
         self.counts = np.zeros(ids, np.int64)
         self.mix = np.zeros((128, 3), np.int64) + [4, 2, 4]
         self.last = np.zeros(lanes, np.int64)
@@ -50,41 +50,50 @@ class Model:
         self.share2, self.share1 = share[:, 0] + 1, share[:, 1] + 1
 
     def predict(self) -> None:
-        n = len(self.last)
         self.place = ((self.last * 0x9E3779B1) ^ (self.before * 0x85EBCA77 >> 3)) >> 7 & ((1 << CONTEXT_BITS) - 1)
         self.e2, self.e1 = self.after2[self.place], self.after1[self.last]
         self.id2, self.id1 = self.e2 >> 3, self.e1 >> 3
         self.cell = (self.e2 & 7) << 4 | (self.e1 & 7) << 1 | (self.id2 == self.id1)
         self.m2, self.m1 = self.share2[self.cell], self.share1[self.cell]
         self.m0 = (1 << MIX_BITS) - self.m2 - self.m1
-        assert n == len(self.m0)
 
     def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Low end and width of the ids' shares, of 2^31."""
-        hit2, hit1 = x == self.id2, x == self.id1
-        low = np.where(hit2, 0, np.where(hit1, self.m2 << ORDER0_BITS, (self.m2 + self.m1 << ORDER0_BITS) + self.low[x] * self.m0))
-        width = np.where(hit2, self.m2 << ORDER0_BITS, np.where(hit1, self.m1 << ORDER0_BITS, self.freq[x] * self.m0))
+        self.hit2 = hit2 = x == self.id2
+        self.hit1 = hit1 = (x == self.id1) & ~hit2
+        two = self.m2 << ORDER0_BITS
+        low, width = np.where(hit2, 0, two), np.where(hit2, two, self.m1 << ORDER0_BITS)
+        rest = np.flatnonzero(~(hit2 | hit1))
+        own, share = x[rest], self.m0[rest]
+        low[rest] = ((1 << MIX_BITS) - share << ORDER0_BITS) + self.low[own] * share
+        width[rest] = self.freq[own] * share
+        self.missed = own
         return low, width
 
     def find(self, target: np.ndarray) -> np.ndarray:
         """The ids in whose shares the targets lie."""
         if self.at is None:
-            self.at = np.repeat(np.arange(self.ids), self.freq)
-        rest = (target >> ORDER0_BITS) - self.m2
-        offset = np.maximum(target - (self.m2 + self.m1 << ORDER0_BITS), 0) // self.m0
-        return np.where(rest < 0, self.id2, np.where(rest < self.m1, self.id1, self.at[np.minimum(offset, (1 << ORDER0_BITS) - 1)]))
+            self.at = np.repeat(np.arange(self.ids, dtype=np.int32), self.freq)
+        share = target >> ORDER0_BITS
+        named = self.m2 + self.m1
+        out = np.where(share < self.m2, self.id2, self.id1).astype(np.int64)
+        rest = np.flatnonzero(share >= named)
+        offset = (target[rest] - (named[rest] << ORDER0_BITS)) // self.m0[rest]
+        out[rest] = self.at[np.minimum(offset, (1 << ORDER0_BITS) - 1)]
+        return out
 
     def learn(self, x: np.ndarray) -> None:
-        hit2, hit1 = x == self.id2, x == self.id1
-        for table, place, e, hit in ((self.after2, self.place, self.e2, hit2), (self.after1, self.last, self.e1, hit1)):
+        """Takes the ids whose intervals were just asked for."""
+        new = (x << 3 | 1).astype(np.int32)
+        for table, place, e, hit in ((self.after2, self.place, self.e2, self.hit2), (self.after1, self.last, self.e1, x == self.id1)):
             sure = e & 7
-            table[place] = np.where(hit, e + (sure < 7), np.where(sure > 1, (e & ~7) | sure >> 1, x << 3 | 1))
-        outcome = np.where(hit2, 0, np.where(hit1, 1, 2))
+            table[place] = np.where(hit, e + (sure < 7), np.where(sure > 1, e - sure + (sure >> 1), new))
+        outcome = 2 - self.hit1 - 2 * self.hit2
         self.mix += np.bincount(self.cell * 3 + outcome, minlength=384).reshape(128, 3) << 2
         if (full := self.mix.sum(axis=1) > 1 << 16).any():
             self.mix[full] = (self.mix[full] >> 1) + 1
         self._shares()
-        np.add.at(self.counts, x[~(hit2 | hit1)], 1)
+        np.add.at(self.counts, self.missed, 1)
         self.before, self.last = self.last, x
         self.steps += 1
         if self.steps & (self.steps - 1) == 0 or self.steps % 32 == 0:
@@ -97,7 +106,7 @@ class Model:
 
 def _shape(n: int) -> tuple[int, int]:
     """Lanes and the ids of each (the last lanes may have one fewer)."""
-    lanes = max(1, min(4096, n // 256))
+    lanes = max(1, min(8192, n // 256))
     return lanes, -(-n // lanes)
 
 
@@ -108,6 +117,24 @@ def _lanes(n: int, lanes: int, steps: int) -> tuple[np.ndarray, int]:
     return np.cumsum(sizes) - sizes, full
 
 
+def _ready(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Lanes whose first word is settled, or whose width is too small to go on."""
+    return ((low ^ (low + width)) < _TOP) | (width < _BOTTOM)
+
+
+def _full(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(_ready(low, width))
+
+
+def _shift(low: np.ndarray, width: np.ndarray, go: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Drops the first word of some lanes, cutting the width where that word isn't settled; which of them go again."""
+    b = width[go]
+    b = np.where((a ^ (a + b)) < _TOP, b, (_U(0) - a) & (_BOTTOM - _U(1))) << _SHIFT
+    a = a << _SHIFT
+    low[go], width[go] = a, b
+    return _ready(a, b)
+
+
 def encode(ids: np.ndarray, vocabulary: int) -> tuple[bytes, int]:
     """Words of all lanes, and the number of lanes."""
     n = len(ids)
@@ -130,19 +157,14 @@ def encode(ids: np.ndarray, vocabulary: int) -> tuple[bytes, int]:
         low[:k] += lo.astype(_U) * r
         width[:k] = w.astype(_U) * r
         model.learn(x)
-        active = np.arange(k)
-        while len(active):
-            a, b = low[active], width[active]
-            settled = (a ^ (a + b)) < _TOP
-            small = ~settled & (b < _BOTTOM)
-            go = settled | small
-            b = np.where(small, (_U(0) - a) & (_BOTTOM - _U(1)), b)
-            active, a, b = active[go], a[go], b[go]
-            out_lane.append(active)
+        go = _full(low[:k], width[:k])
+        while len(go):
+            a = low[go]
+            out_lane.append(go.astype(np.uint16))
             out_word.append((a >> _TOP_SHIFT).astype("<u2"))
-            low[active], width[active] = a << _SHIFT, b << _SHIFT
+            go = go[_shift(low, width, go, a)]
     for s in (48, 32, 16, 0):
-        out_lane.append(np.arange(lanes))
+        out_lane.append(np.arange(lanes, dtype=np.uint16))
         out_word.append((low >> _U(s) & _U(0xFFFF)).astype("<u2"))
     lane, word = np.concatenate(out_lane), np.concatenate(out_word)
     order = np.argsort(lane, kind="stable")
@@ -182,17 +204,11 @@ def decode(data: bytes, n: int, lanes: int, vocabulary: int) -> np.ndarray:
         width[:k] = w.astype(_U) * r
         out[first[:k] + t] = x
         model.learn(x)
-        active = np.arange(k)
-        while len(active):
-            a, b = low[active], width[active]
-            settled = (a ^ (a + b)) < _TOP
-            small = ~settled & (b < _BOTTOM)
-            go = settled | small
-            b = np.where(small, (_U(0) - a) & (_BOTTOM - _U(1)), b)
-            active, a, b = active[go], a[go], b[go]
-            low[active], width[active] = a << _SHIFT, b << _SHIFT
-            code[active] = code[active] << _SHIFT | words[at[active]]
-            at[active] += 1
+        go = _full(low[:k], width[:k])
+        while len(go):
+            code[go] = code[go] << _SHIFT | words[at[go]]
+            at[go] += 1
+            go = go[_shift(low, width, go, low[go])]
     return out
 
 

@@ -99,6 +99,23 @@ def test_join_in_blocks(spark, monkeypatch):
     check_join(spark, cases.frame(spark, 5))
 
 
+@pytest.mark.parametrize(("block", "most"), [(3, 1 << 20), (1024, 2000)])
+def test_join_in_bounded_groups(spark, monkeypatch, block, most):
+    """Pairs of blocks of a large component never share a group, be it large by its classes or by its bytes."""
+    verify = ngram_join._verify
+
+    def one_pair(table):
+        keys = set(zip(*(table.column(k).to_pylist() for k in ("comp", "one", "two")), strict=True))
+        assert len(keys) == 1 and table.num_rows < 40
+        return verify(table)
+
+    monkeypatch.setattr(ngram_join, "_verify", one_pair)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", most, raising=False)
+    words = [f"w{i}" for i in range(100)]
+    check_join(spark, spark.createDataFrame([(i, " ".join([*words[:i], "x", *words[i + 1 :]])) for i in range(60)], "doc_id long, text string"))
+
+
 def test_join_keeps_one(spark):
     docs = cases.frame(spark)
     kept = ngram_join.keep_one(docs)

@@ -8,8 +8,8 @@
    tolerance (BayesLSH, uniform prior). What survives isn't listed pair by pair: a band's first class is
    compared with all others, and then only those that it didn't reach, so edges number less than classes.
 3. Components of these edges hold every pair that may be similar. The texts of their classes meet there, in
-   blocks of 1024 classes against each other, where all pairs are pruned as above and the rest verified by
-   exact intersections. Only the number of links of each class and a spanning set of links leave the task.
+   blocks of 1024 classes or 8 MB of text against each other, each pair of blocks in a group of its own, where
+   all pairs are pruned as above and the rest verified by exact intersections. Only the number of links of each class and a spanning set of links leave the task.
 4. Components of the verified links are the near-duplicate classes.
 
 Defined cases: null texts and texts without words have no shingles and are copies of each other; a text of
@@ -24,7 +24,7 @@ from math import exp, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.anchors import Rolling, groups, mixed, spread
@@ -37,6 +37,8 @@ BANDS, ROWS, STEP = 24, 4, 16
 HASHES = BANDS * ROWS
 #: Classes compared with each other in one task, and classes of one band that a task takes.
 BLOCK, BAND = 1024, 100_000
+#: Bytes of a component's texts that a block stands for, and of small components that are verified together.
+BLOCK_BYTES = 8 << 20
 
 _FACTORS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -56,7 +58,8 @@ def shingle_sets(n: np.ndarray, words: np.ndarray, shingle: int = SHINGLE) -> tu
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for doc, n, words in word_stretches(batches):
+    for keys, n, words in word_stretches(batches):
+        doc, n_bytes = keys.T
         of, own = shingle_sets(n, words)
         size = np.bincount(of, minlength=len(doc))
         full = np.flatnonzero(size)
@@ -74,8 +77,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = (mixed(mins) & np.uint64(0xFF)).astype(np.uint8)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(size, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), lists, pa.array([x.tobytes() for x in low], pa.binary())],
-            names=["doc_id", "n", "d1", "d2", "bands", "low"],
+            [pa.array(doc, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(size, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), lists, pa.array([x.tobytes() for x in low], pa.binary())],
+            names=["doc_id", "bytes", "n", "d1", "d2", "bands", "low"],
         )
 
 
@@ -129,13 +132,17 @@ def _band_edges(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a[a != b], pa.int64()), "b": pa.array(b[a != b], pa.int64())})
 
 
-def _blocks(df: DataFrame, size: str, block: int, key: str) -> DataFrame:
-    """Adds one, two (numbers of blocks) and side: rows of a group over ``block`` rows go to each pair of its blocks."""
-    n = F.ceil(F.col(size) / block).cast("int")
-    own = F.pmod(F.xxhash64(key), n).cast("int")
-    df = df.withColumn("_own", own)
-    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.struct(F.least("_own", x).alias("one"), F.greatest("_own", x).alias("two")))
-    return df.withColumn("_p", F.explode(pairs)).select(*df.columns, "_p.one", "_p.two").withColumnRenamed("_own", "own")
+def _blocks(df: DataFrame, n: Column, key: str, parts: int, *group: str) -> DataFrame:
+    """Adds one, two and own (numbers of blocks) and bucket: rows of a group go to each pair of its n blocks.
+
+    Each pair of blocks has a bucket of its own, however many they are; groups of one block are dealt to ``parts`` buckets.
+    """
+    df = df.withColumn("_n", n.cast("int"))
+    df = df.withColumn("own", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda x: F.struct(F.least("own", x).alias("one"), F.greatest("own", x).alias("two")))
+    df = df.withColumn("_p", F.explode(pairs)).withColumns({"one": F.col("_p.one"), "two": F.col("_p.two")})
+    few = F.pmod(F.xxhash64(*group), F.lit(parts).cast("long"))
+    return df.withColumn("bucket", F.when(F.col("_n") > 1, F.xxhash64(*group, "one", "two")).otherwise(few)).drop("_n", "_p")
 
 
 def _intersections(of: np.ndarray, own: np.ndarray, m: int) -> np.ndarray:
@@ -207,30 +214,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shingle sets of other documents that are similar enough; n_copies the documents with an equal set.
     """
     spark, rows = docs.sparkSession, texts(docs)
-    signed = stored(rows.mapInArrow(_signatures, "doc_id long, n long, d1 long, d2 long, bands array<long>, low binary"), "signatures")
+    signed = stored(rows.select("doc_id", F.octet_length("text").cast("long").alias("bytes"), "text").mapInArrow(_signatures, "doc_id long, bytes long, n long, d1 long, d2 long, bands array<long>, low binary"), "signatures")
     alike = ["n", "d1", "d2"]
-    classes = stored(signed.groupBy(*alike).agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("n_copies"), F.first("bands").alias("bands"), F.first("low").alias("low")), "copies")
+    classes = stored(signed.groupBy(*alike).agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("n_copies"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.max("bytes").alias("bytes")), "copies")
 
     banded = classes.filter("n > 0").select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     banded = stored(banded.join(shared, "key"), "bands")
-    met = _blocks(banded.join(classes.select("rep", "low"), "rep"), "size", BAND, "rep").withColumn("part", F.col("one") * 100_000 + F.col("two"))
     tasks = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = 4 * tasks
-    bucket = F.pmod(F.xxhash64("key", "part"), F.lit(parts)).alias("bucket")
-    edges = met.select(bucket, "key", "part", "rep", "low").groupBy("bucket").applyInArrow(_band_edges, "a long, b long")
+    met = _blocks(banded.join(classes.select("rep", "low"), "rep"), F.ceil(F.col("size") / BAND), "rep", max(4 * tasks, banded.count() // BAND), "key")
+    edges = met.select("bucket", "key", (F.col("one") * 100_000 + F.col("two")).alias("part"), "rep", "low").groupBy("bucket").applyInArrow(_band_edges, "a long, b long")
     coarse = components(edges)
 
-    nodes = coarse.unionByName(coarse.select("root", "root").distinct().toDF("node", "root"))
-    sizes = nodes.groupBy("root").agg(F.count("*").alias("size"))
-    nodes = nodes.join(sizes, "root").select(F.col("node").alias("rep"), F.col("root").alias("comp"), "size")
-    nodes = nodes.join(classes.select("rep", "low"), "rep")
-    own = rows.withColumnRenamed("doc_id", "rep").join(nodes, "rep")
-    own = _blocks(own, "size", BLOCK, "rep")
-    # Small components share buckets by their root; the pairs of blocks of a large one have buckets of their own.
-    bucket = F.pmod(F.xxhash64("comp", "one", "two"), F.lit(parts)).alias("bucket")
+    nodes = coarse.unionByName(coarse.select("root", "root").distinct().toDF("node", "root")).toDF("rep", "comp")
+    nodes = stored(nodes.join(classes.select("rep", "low", "bytes"), "rep"), "nodes")
+    sizes = nodes.groupBy("comp").agg(F.count("*").alias("size"), F.sum("bytes").alias("size_bytes"))
+    parts = max(4 * tasks, (nodes.agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES)
+    own = rows.withColumnRenamed("doc_id", "rep").join(nodes.join(sizes, "comp"), "rep")
+    own = _blocks(own, F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("size_bytes") / BLOCK_BYTES), F.lit(1)), "rep", parts, "comp")
     # The work grows faster than the bytes, so the tasks' number is set rather than coalesced.
-    own = own.select(bucket, "comp", "one", "two", "own", "rep", "low", "text").repartition(tasks, "bucket")
+    own = own.select("bucket", "comp", "one", "two", "own", "rep", "low", "text").repartition(tasks, "bucket")
     verified = stored(own.groupBy("bucket").applyInArrow(_verify, "node long, root long, links long"), "links")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     final = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))

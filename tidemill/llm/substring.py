@@ -48,7 +48,7 @@ def word_hashes(data: bytes) -> np.ndarray:
 
 
 def word_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """doc_id and number of words of documents, and all their words' hashes, some megabytes at a time."""
+    """Keys (the columns before the text) and number of words of documents, and all their words' hashes, some megabytes at a time."""
     docs, held, size = [], [], 0
 
     def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,15 +61,15 @@ def word_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
         return np.diff(np.concatenate(([0], upto))), whole
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for doc, text in zip(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True), batch.columns[-1], strict=True):
             docs.append(doc)
             held.append(text.as_py().encode())
             size += len(held[-1])
             if size > STRETCH:
-                yield np.array(docs), *joined(held)
+                yield np.array(docs, np.int64), *joined(held)
                 docs, held, size = [], [], 0
     if docs:
-        yield np.array(docs), *joined(held)
+        yield np.array(docs, np.int64), *joined(held)
 
 
 class Windows:
@@ -84,7 +84,7 @@ class Windows:
         self.anchor = runs[anchor]
         self.rolling, self.window = rolling, window
         of = np.searchsorted(base + many, self.first, "right")
-        self.doc, self.at = doc[of], self.first - base[of]
+        self.doc, self.at = doc[of, 0], self.first - base[of]
 
     def pick(self, keep: np.ndarray) -> tuple[np.ndarray, ...]:
         """anchor, doc, place and hash of each window of the ranges to keep."""

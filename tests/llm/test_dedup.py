@@ -1,5 +1,7 @@
 """Substring dedup, suffix dedup and the n-gram join against plain Python."""
 
+import random
+
 import cases
 import numpy as np
 import pytest
@@ -124,6 +126,22 @@ def test_join_keeps_one(spark):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, c in classes.items() if d == c}
 
 
+def test_join_repeated_ids(spark):
+    """Rows that repeat an id and its text count once; texts without an id, or with another's, are compared for themselves."""
+    rng = random.Random(5)
+    texts = [" ".join(f"{k}w{rng.randrange(10**6)}" for _ in range(80)) for k in range(5)]
+    near = [t.replace(" ", " changed ", 1) for t in texts]
+    rows = [(1, texts[0]), *[(2, near[0])] * 7, (1, near[1]), (5, texts[1]), (None, texts[2]), (None, texts[2]), (None, near[2]), (9, near[2]), (None, texts[3]), (None, texts[4]), (6, near[4])]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, k int").repartition(4)
+    want = [(1, 1, 1, 1), *[(2, 1, 1, 1)] * 7, (1, 1, 1, 1), (5, 1, 1, 1), *[(None, None, 1, 1)] * 2, (None, None, 1, 2), (9, None, 1, 2), (None, None, 0, 1), (None, None, 1, 1), (6, None, 1, 1)]
+    assert sorted((tuple(r) for r in ngram_join.near_duplicates(docs).collect()), key=str) == sorted(want, key=str)
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert len(got) == 5 and {t.split("w")[0] for _, t in got} == set("01234")
+    assert sorted((d for d, _ in got), key=str) == [1, 1, None, None, None]
+
+
 def test_tolerance():
     """A pair at the threshold is pruned in hardly any case."""
     rng = np.random.default_rng(0)

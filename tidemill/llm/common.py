@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null doc_id inside the operators; such rows count as one document with this smallest id.
+#: Stands for a null doc_id inside the operators: the smallest id. Operators that compare texts tell such rows apart by ``text_key``.
 NO_ID = -(2**63)
 
 
@@ -54,5 +54,15 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(doc_key().alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def text_key(column: str = "text") -> Column:
+    """Tells texts apart that share a doc_id, as all rows without one do: a 64-bit hash, compared within one doc_id only."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, sub and text: rows are one document if both keys are equal."""
+    return texts(docs).select("doc_id", text_key().alias("sub"), "text")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -13,8 +13,9 @@
 4. Components of the verified links are the near-duplicate classes.
 
 Defined cases: null texts and texts without words have no shingles and are copies of each other; a text of
-one to four words is one shingle; a doc_id stands for one document, so rows that repeat one get equal
-results; an empty table gives no rows; further columns are left alone.
+one to four words is one shingle; one text of each class is compared, so rows that repeat a doc_id and its text
+get equal results and count once; rows that repeat a doc_id with another text, as rows without one do, get the
+results of their own texts; an empty table gives no rows; further columns are left alone.
 """
 
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.anchors import Rolling, groups, mixed, spread
-from tidemill.llm.common import NO_ID, doc_key, key_back, stored, texts
+from tidemill.llm.common import doc_key, key_back, keyed_texts, stored, text_key
 from tidemill.llm.graph import components
 from tidemill.llm.substring import word_hashes, word_stretches
 
@@ -58,27 +59,26 @@ def shingle_sets(n: np.ndarray, words: np.ndarray, shingle: int = SHINGLE) -> tu
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for keys, n, words in word_stretches(batches):
-        doc, n_bytes = keys.T
+    for docs, n, words in word_stretches(batches):
         of, own = shingle_sets(n, words)
-        size = np.bincount(of, minlength=len(doc))
+        size = np.bincount(of, minlength=len(docs))
         full = np.flatnonzero(size)
         edges = (np.cumsum(size) - size)[full]
-        sums = np.zeros((2, len(doc)), np.uint64)
-        mins = np.zeros((len(doc), HASHES), np.uint64)
+        sums = np.zeros((2, len(docs)), np.uint64)
+        mins = np.zeros((len(docs), HASHES), np.uint64)
         if len(full):
             sums[0, full], sums[1, full] = np.add.reduceat(own, edges), np.add.reduceat(mixed(own), edges)
             for k, f in enumerate(_FACTORS):
                 mins[full, k] = np.minimum.reduceat(own * f, edges)
-        keys = np.zeros((len(doc), BANDS), np.uint64)
+        keys = np.zeros((len(docs), BANDS), np.uint64)
         for r in range(ROWS):
             keys = mixed(keys + mins[:, r::ROWS])
         keys += np.arange(BANDS, dtype=np.uint64)
         low = (mixed(mins) & np.uint64(0xFF)).astype(np.uint8)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(docs) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(size, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), lists, pa.array([x.tobytes() for x in low], pa.binary())],
-            names=["doc_id", "bytes", "n", "d1", "d2", "bands", "low"],
+            [*(pa.array(k, pa.int64()) for k in docs.T), pa.array(size, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), lists, pa.array([x.tobytes() for x in low], pa.binary())],
+            names=["doc_id", "sub", "bytes", "n", "d1", "d2", "bands", "low"],
         )
 
 
@@ -207,16 +207,16 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(np.concatenate(v), pa.int64()) for k, v in zip(("node", "root", "links"), out, strict=True)})
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies of each document.
-
-    class_id is the smallest doc_id of the documents connected by links; n_links the number of different
-    shingle sets of other documents that are similar enough; n_copies the documents with an equal set.
-    """
-    spark, rows = docs.sparkSession, texts(docs)
-    signed = stored(rows.select("doc_id", F.octet_length("text").cast("long").alias("bytes"), "text").mapInArrow(_signatures, "doc_id long, bytes long, n long, d1 long, d2 long, bands array<long>, low binary"), "signatures")
+def _classified(docs: DataFrame) -> DataFrame:
+    """doc_id and sub of each row, class_id and class_sub (the smallest of its near-duplicate class), n_links, n_copies."""
+    spark, rows = docs.sparkSession, keyed_texts(docs)
+    sized = rows.select("doc_id", "sub", F.octet_length("text").cast("long").alias("bytes"), "text")
+    signed = stored(sized.mapInArrow(_signatures, "doc_id long, sub long, bytes long, n long, d1 long, d2 long, bands array<long>, low binary"), "signatures")
     alike = ["n", "d1", "d2"]
-    classes = stored(signed.groupBy(*alike).agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("n_copies"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.max("bytes").alias("bytes")), "copies")
+    least = F.min(F.struct("doc_id", "sub", "bytes")).alias("least")
+    classes = signed.groupBy(*alike).agg(least, F.count_distinct("doc_id").alias("n_copies"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+    # rep is a class's number, and doc_id and sub say which text is compared for it.
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("rep"), *alike, "least.*", "n_copies", "bands", "low"), "copies")
 
     banded = classes.filter("n > 0").select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -224,26 +224,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tasks = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = _blocks(banded.join(classes.select("rep", "low"), "rep"), F.ceil(F.col("size") / BAND), "rep", max(4 * tasks, banded.count() // BAND), "key")
     edges = met.select("bucket", "key", (F.col("one") * 100_000 + F.col("two")).alias("part"), "rep", "low").groupBy("bucket").applyInArrow(_band_edges, "a long, b long")
-    coarse = components(edges)
 
-    nodes = coarse.unionByName(coarse.select("root", "root").distinct().toDF("node", "root")).toDF("rep", "comp")
-    nodes = stored(nodes.join(classes.select("rep", "low", "bytes"), "rep"), "nodes")
+    nodes = _members(components(edges)).toDF("rep", "comp")
+    nodes = stored(nodes.join(classes.select("rep", "doc_id", "sub", "low", "bytes"), "rep"), "nodes")
     sizes = nodes.groupBy("comp").agg(F.count("*").alias("size"), F.sum("bytes").alias("size_bytes"))
     parts = max(4 * tasks, (nodes.agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES)
-    own = rows.withColumnRenamed("doc_id", "rep").join(nodes.join(sizes, "comp"), "rep")
+    # Rows that repeat the text of a class go here, before any blocks.
+    own = rows.join(nodes.join(sizes, "comp"), ["doc_id", "sub"]).drop("doc_id", "sub").dropDuplicates(["rep"])
     own = _blocks(own, F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("size_bytes") / BLOCK_BYTES), F.lit(1)), "rep", parts, "comp")
     # The work grows faster than the bytes, so the tasks' number is set rather than coalesced.
     own = own.select("bucket", "comp", "one", "two", "own", "rep", "low", "text").repartition(tasks, "bucket")
     verified = stored(own.groupBy("bucket").applyInArrow(_verify, "node long, root long, links long"), "links")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    final = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    found = classes.select(*alike, "rep", "n_copies").join(links, classes["rep"] == links["node"], "left").drop("node")
-    found = found.join(final, found["rep"] == final["node"], "left").select(*alike, F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
-    out = signed.select("doc_id", *alike).join(found, alike)
-    return out.select(key_back(F.col("doc_id")).alias("doc_id"), key_back(F.col("class_id")).alias("class_id"), "n_links", "n_copies")
+    final = _members(components(verified.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    first = final.join(classes.select("rep", "doc_id", "sub"), F.col("node") == F.col("rep")).groupBy("root").agg(F.min(F.struct("doc_id", "sub")).alias("first"))
+    linked = final.join(first, "root").join(links, "node").select(F.col("node").alias("rep"), "first", "links")
+    found = classes.select("rep", *alike, "doc_id", "sub", "n_copies").join(linked, "rep", "left")
+    first = F.coalesce("first", F.struct("doc_id", "sub"))
+    found = found.select(*alike, first["doc_id"].alias("class_id"), first["sub"].alias("class_sub"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
+    return signed.select("doc_id", "sub", *alike).join(found, alike).drop(*alike)
+
+
+def _members(stars: DataFrame) -> DataFrame:
+    """node and root, for roots too."""
+    return stars.unionByName(stars.select("root", "root").distinct().toDF("node", "root"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies of each document.
+
+    class_id is the smallest doc_id of the documents connected by links; n_links the number of different
+    shingle sets of other documents that are similar enough; n_copies the documents with an equal set.
+    """
+    return _classified(docs).select(key_back(F.col("doc_id")).alias("doc_id"), key_back(F.col("class_id")).alias("class_id"), "n_links", "n_copies")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each near-duplicate class the document with the smallest id, with all its columns."""
-    first = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(doc_key().alias("kept")).distinct()
-    return docs.join(first, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == first["kept"], "left_semi")
+    """Of each near-duplicate class one row, of the document with the smallest id, with all its columns."""
+    keys = ["_k_doc", "_k_sub"]
+    kept = _classified(docs).filter("doc_id = class_id and sub = class_sub").select("doc_id", "sub").distinct().toDF(*keys)
+    rows = docs.withColumns({"_k_doc": doc_key(), "_k_sub": text_key()})
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)

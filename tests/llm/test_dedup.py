@@ -75,6 +75,25 @@ def test_substring(spark, monkeypatch, hot):
         assert (r[0], r[1], r[2], cases.sha(bytes(r[3]))) == want[r[0]]
 
 
+@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("key", [None, 7])
+def test_rows_that_share_an_id(spark, monkeypatch, hot, key):
+    """Texts without an id, or with one id, lose only what is repeated in themselves."""
+    if hot:
+        monkeypatch.setattr(sketch.Estimate, "__init__", _all_hot)
+    rng = random.Random(3)
+    prose = lambda: [f"w{rng.randrange(10**7)}" for _ in range(90)]
+    passage = prose()
+    texts = [" ".join([*passage, *prose()]), " ".join([*passage, *prose()]), " ".join(prose() + prose())]
+    docs = spark.createDataFrame([(key, t) for t in texts], "doc_id long, text string").repartition(3)
+    got = {bytes(r["kept"]).decode(): r["n_removed"] for r in substring.remove_repeats(docs).collect()}
+    whole, cut = set(texts), {" ".join(t.split()[90:]) for t in texts[:2]}
+    assert sorted(got.values()) == [0, 0, 90] and texts[2] in got and len(set(got) & cut) == 1 and len(set(got) & whole) == 2
+    got = sorted(((r[0], r[1], r[2], r[3], cases.sha(bytes(r[4]))) for r in suffix.remove_repeats(docs).collect()), key=str)
+    want = sorted(cases.brute_suffix([(key, t) for t in texts], 400), key=str)
+    assert got == want and sorted(w[2] > 0 for w in want) == [False, True, True]
+
+
 def test_word_hashes_in_slices(monkeypatch):
     text = " ".join(f"w{i % 91} ñ{i}" for i in range(3000)).encode()
     whole = substring.word_hashes(text)

@@ -74,6 +74,16 @@ def test_contamination(spark, monkeypatch, most):
     assert decontaminate.report(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_contamination_of_rows_that_share_an_id(spark, key):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    texts = [" ".join(f"w{i}" for i in range(20)), "clean words only", "q " * 300 + "alpha beta gamma delta one", "clean words only"]
+    docs = spark.createDataFrame([(key, t) for t in texts], "doc_id long, text string")
+    got = decontaminate.report(docs, bench).select("n_words", "n_hit", "contaminated").collect()
+    assert sorted(map(tuple, got)) == [(3, 0, False), (3, 0, False), (20, 20, True), (305, 5, False)]
+    assert sorted(r["text"] for r in decontaminate.drop_contaminated(docs, bench).collect()) == sorted(texts[1:])
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_sql(spark, sf_dir, name):
     assert_same(registry.QUERIES[name](spark, sf_dir), registry.ORACLES[name], sf_dir)

@@ -3,17 +3,18 @@
 The distinct windows of the benchmark (13 words, or a whole shorter item) form a hash set that is broadcast
 only if it is counted to be small (``most`` windows); over that the same join shuffles by window. The
 windows of the documents are met with it as whole strings, so a hit is verified by the match itself. Hits
-alone are shuffled, by document.
+alone are shuffled, by document (doc_id and its text's hash).
 
 Defined cases: null texts have no words and are never hit; items without words have no window; repeated rows
-of a doc_id get equal results, and rows that repeat a doc_id with another text share their hits; an empty
+of a doc_id get equal results, and rows that repeat a doc_id with another text, as rows without one do, are
+documents of their own; an empty
 benchmark hits nothing; further columns are left alone.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import NO_ID, doc_key, key_back, stored, texts
+from tidemill.llm.common import doc_key, key_back, keyed_texts, stored, text_key
 
 WINDOW = 13
 #: A broadcast of so many windows takes some 200 MB at most.
@@ -44,26 +45,26 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def hits(docs: DataFrame, windows: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """doc_id, at, len, window for each place of a document where a benchmark window occurs."""
+    """doc_id, sub, at, len, window for each place of a document where a benchmark window occurs."""
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # 1 to 13: bounded
     distinct = windows.select("len", "window").distinct()
     small = distinct.limit(most + 1).count() <= most
-    split = texts(docs).select("doc_id", words(F.col("text")).alias("w"))
+    split = keyed_texts(docs).select("doc_id", "sub", words(F.col("text")).alias("w"))
     found = None
     for n in lengths:
         own = distinct.filter(F.col("len") == n)
-        placed = split.select("doc_id", F.posexplode(_windows(F.col("w"), n)).alias("at", "window"))
+        placed = split.select("doc_id", "sub", F.posexplode(_windows(F.col("w"), n)).alias("at", "window"))
         joined = placed.join(F.broadcast(own) if small else own, "window")
         found = joined if found is None else found.unionByName(joined)
-    return found if found is not None else split.sparkSession.createDataFrame([], "window string, doc_id long, at int, len int")
+    return found if found is not None else split.sparkSession.createDataFrame([], "window string, doc_id long, sub long, at int, len int")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = MOST_BROADCAST) -> DataFrame:
-    """For each document that is hit: doc_id, n_hit words, items (sorted ids) and spans (merged word ranges)."""
+    """For each document that is hit: doc_id, sub, n_hit words, items (sorted ids) and spans (merged word ranges)."""
     runs = stored(benchmark_windows(benchmark, window), "benchmark-windows")
     found = stored(hits(docs, runs, most), "benchmark-hits")
     # A document's hits fit in a row, being fewer than its words.
-    by_doc = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "len"))).alias("at"), F.collect_set("window").alias("windows"))
+    by_doc = found.groupBy("doc_id", "sub").agg(F.sort_array(F.collect_set(F.struct("at", "len"))).alias("at"), F.collect_set("window").alias("windows"))
     start = F.array().cast("array<struct<from:int,to:int>>")
 
     def merge(acc: Column, x: Column) -> Column:
@@ -73,22 +74,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     # Hits of one length in a row are joined at their gaps first, so that the merge handles runs and not windows.
     spans = F.aggregate("at", start, merge)
-    by_doc = by_doc.select("doc_id", spans.alias("spans"), "windows")
-    items = by_doc.select("doc_id", F.explode("windows").alias("window")).join(runs.select("window", "item_id"), "window").groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    by_doc = by_doc.select("doc_id", "sub", spans.alias("spans"), "windows")
+    items = by_doc.select("doc_id", "sub", F.explode("windows").alias("window")).join(runs.select("window", "item_id"), "window").groupBy("doc_id", "sub").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["to"] - s["from"])
-    return by_doc.select("doc_id", "spans", n_hit.alias("n_hit")).join(items, "doc_id")
+    return by_doc.select("doc_id", "sub", "spans", n_hit.alias("n_hit")).join(items, ["doc_id", "sub"])
 
 
-def report(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
-    """A row per document: doc_id, n_words, n_hit, items, spans, contaminated (hit in 1 of ``share`` words or more)."""
-    own = texts(docs).select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+def _judged(docs: DataFrame, benchmark: DataFrame, share: int) -> DataFrame:
+    """What ``report`` says, with the keys of the rows."""
+    own = keyed_texts(docs).select("doc_id", "sub", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
-    out = own.join(contamination(docs, benchmark), "doc_id", "left")
+    out = own.join(contamination(docs, benchmark), ["doc_id", "sub"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select(key_back(F.col("doc_id")).alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.coalesce("items", none).alias("items"), "spans", ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return out.select("doc_id", "sub", "n_words", n_hit.alias("n_hit"), F.coalesce("items", none).alias("items"), "spans", ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def report(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
+    """A row per document: doc_id, n_words, n_hit, items, spans, contaminated (hit in 1 of ``share`` words or more)."""
+    return _judged(docs, benchmark, share).withColumn("doc_id", key_back(F.col("doc_id"))).drop("sub")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    out = report(docs, benchmark, share).filter("contaminated").select(doc_key().alias("gone")).distinct()
-    return docs.join(out, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == out["gone"], "left_anti")
+    keys = ["_k_doc", "_k_sub"]
+    gone = _judged(docs, benchmark, share).filter("contaminated").select("doc_id", "sub").distinct().toDF(*keys)
+    rows = docs.withColumns({"_k_doc": doc_key(), "_k_sub": text_key()})
+    return rows.join(gone, keys, "left_anti").drop(*keys)

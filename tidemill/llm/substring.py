@@ -9,8 +9,8 @@ a document. Windows meet by their anchor, those of very common anchors by their
 gathers more than its share.
 
 Defined cases: null texts have no words; a doc_id stands for one document, so rows that repeat it with the
-same text get equal results and don't remove each other, and rows that repeat it with another text share
-what is removed; an empty table gives no rows; further columns are left alone.
+same text get equal results and don't remove each other; rows that repeat it with another text, as rows without
+one do, are documents of their own, in order of their texts' hashes; an empty table gives no rows; further columns are left alone.
 """
 
 from collections.abc import Iterator
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.anchors import Rolling, byte_values, collapse, groups, ranges, smallest, spread
-from tidemill.llm.common import key_back, texts
+from tidemill.llm.common import key_back, keyed_texts
 from tidemill.llm.sketch import SCHEMA, Estimate, TaskSketch, bits_for
 
 WINDOW, RUN = 20, 6
@@ -84,28 +84,39 @@ class Windows:
         self.anchor = runs[anchor]
         self.rolling, self.window = rolling, window
         of = np.searchsorted(base + many, self.first, "right")
-        self.doc, self.at = doc[of, 0], self.first - base[of]
+        self.doc, self.at = doc[of], self.first - base[of]
 
     def pick(self, keep: np.ndarray) -> tuple[np.ndarray, ...]:
-        """anchor, doc, place and hash of each window of the ranges to keep."""
+        """anchor, doc (a row of two keys), place and hash of each window of the ranges to keep."""
         n = self.n[keep]
         start = spread(self.first[keep], n)
-        return np.repeat(self.anchor[keep], n), np.repeat(self.doc[keep], n), spread(self.at[keep], n), self.rolling.of(start, start + self.window)
+        return np.repeat(self.anchor[keep], n), np.repeat(self.doc[keep], n, axis=0), spread(self.at[keep], n), self.rolling.of(start, start + self.window)
 
 
 def repeats(anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by window, document and place; and in that order whether a window has one before it elsewhere."""
-    order = np.lexsort((at, doc, anchor, own))
+    order = np.lexsort((at, *doc.T[::-1], anchor, own))
     a, d, p, o = anchor[order], doc[order], at[order], own[order]
     new = np.concatenate(([True], (o[1:] != o[:-1]) | (a[1:] != a[:-1]))) if len(o) else np.zeros(0, bool)
     first = np.maximum.accumulate(np.where(new, np.arange(len(o)), 0)) if len(o) else np.zeros(0, np.int64)
-    return order, (d != d[first]) | (p != p[first])
+    return order, (d != d[first]).any(axis=1) | (p != p[first])
 
 
 _SENT = "bucket int, anchor binary, doc binary, at binary, n binary, own binary"
+#: doc: doc_id and sub in turn.
 _KINDS = {"anchor": "<u8", "doc": "<i8", "at": "<i8", "n": "<i4", "own": "<u8"}
 
 
+def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, first place and number of windows in a row."""
+    s = np.lexsort((at, *doc.T[::-1]))
+    doc, at = doc[s], at[s]
+    number = np.cumsum(np.concatenate(([True], (doc[1:] != doc[:-1]).any(axis=1)))) - 1 if len(doc) else np.zeros(0, np.int64)
+    own = doc[np.unique(number, return_index=True)[1]]
+    number, at, n = collapse(number, at)
+    return own[number], at, n
+
+
 def _sketch(bits: int, window: int, run: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = TaskSketch(bits)
@@ -127,18 +138,17 @@ def _send(estimate, buckets: int, window: int, run: int):
             mark[order[again]] = True
             rows = []
             # What is settled already goes along as ranges without hashes.
-            s = np.lexsort((at[mark], doc[mark]))
-            d, p, n = collapse(doc[mark][s], at[mark][s])
+            d, p, n = _runs(doc[mark], at[mark])
             none = np.zeros(0, "<u8")
             if len(d):
-                rows.append((int(d[0] + turn) % buckets, none, d, p, n, none))
+                rows.append((int(d[0, 0] + turn) % buckets, none, d, p, n, none))
             anchor, doc, at, own = (v[~mark] for v in (anchor, doc, at, own))
             key = np.where(estimate.value.very_common(anchor), own, anchor)
             bucket = (key % np.uint64(buckets)).astype(np.int64)
-            s = np.lexsort((at, doc, bucket))
+            s = np.lexsort((at, *doc.T[::-1], bucket))
             anchor, doc, at, own, bucket = (v[s] for v in (anchor, doc, at, own, bucket))
             if len(own):
-                same = (bucket[1:] == bucket[:-1]) & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1] + 1) & (anchor[1:] == anchor[:-1])
+                same = (bucket[1:] == bucket[:-1]) & (doc[1:] == doc[:-1]).all(axis=1) & (at[1:] == at[:-1] + 1) & (anchor[1:] == anchor[:-1])
                 new = np.flatnonzero(np.concatenate(([True], ~same)))
                 n = np.diff(np.concatenate((new, [len(own)])))
                 for a, b in groups(bucket[new]):
@@ -156,26 +166,25 @@ def _settle(table: pa.Table) -> pa.Table:
     got = {k: [np.frombuffer(x, t) for x in table.column(k).to_pylist()] for k, t in _KINDS.items()}
     settled = [i for i, x in enumerate(got["own"]) if not len(x)]
     live = [i for i, x in enumerate(got["own"]) if len(x)]
-    pick = lambda k, rows: np.concatenate([got[k][i] for i in rows] or [np.zeros(0, _KINDS[k])])
+    got["doc"] = [x.reshape(-1, 2) for x in got["doc"]]
+    pick = lambda k, rows: np.concatenate([got[k][i] for i in rows] or [np.zeros((0, 2) if k == "doc" else 0, _KINDS[k])])
     n = pick("n", live)
-    anchor, doc = (np.repeat(pick(k, live), n) for k in ("anchor", "doc"))
+    anchor, doc = (np.repeat(pick(k, live), n, axis=0) for k in ("anchor", "doc"))
     at, own = spread(pick("at", live), n), pick("own", live)
     order, again = repeats(anchor, doc, at, own)
-    d, p = doc[order[again]], at[order[again]]
-    s = np.lexsort((p, d))
-    d, p, n = collapse(d[s], p[s])
+    d, p, n = _runs(doc[order[again]], at[order[again]])
     out = [np.concatenate((x, pick(k, settled))) for k, x in (("doc", d), ("at", p), ("n", n))]
-    return pa.table({"doc_id": pa.array(out[0], pa.int64()), "at": pa.array(out[1], pa.int64()), "n": pa.array(out[2], pa.int32())})
+    return pa.table({"doc_id": pa.array(out[0][:, 0], pa.int64()), "sub": pa.array(out[0][:, 1], pa.int64()), "at": pa.array(out[1], pa.int64()), "n": pa.array(out[2], pa.int32())})
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """doc_id, at, n: n windows from word ``at`` on each have an equal window that starts earlier."""
-    spark, rows = docs.sparkSession, texts(docs)
+    """doc_id, sub, at, n: n windows from word ``at`` on each have an equal window that starts earlier."""
+    spark, rows = docs.sparkSession, keyed_texts(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits, buckets = bits_for(size / 6 * 2 / (window - run + 2)), max(16, size // BUCKET)
     estimate = spark.sparkContext.broadcast(Estimate(rows.mapInArrow(_sketch(bits, window, run), SCHEMA), bits))
     sent = rows.mapInArrow(_send(estimate, buckets, window, run), _SENT)
-    return sent.groupBy("bucket").applyInArrow(_settle, "doc_id long, at long, n int")
+    return sent.groupBy("bucket").applyInArrow(_settle, "doc_id long, sub long, at long, n int")
 
 
 def _remove(window: int):
@@ -204,7 +213,7 @@ def _remove(window: int):
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, one space between, as UTF-8) of each document."""
-    marks = repeated_windows(docs, window, run).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("marks"))
-    rows = texts(docs).join(marks, "doc_id", "left").select("doc_id", "text", "marks")
+    marks = repeated_windows(docs, window, run).groupBy("doc_id", "sub").agg(F.collect_set(F.struct("at", "n")).alias("marks"))
+    rows = keyed_texts(docs).join(marks, ["doc_id", "sub"], "left").select("doc_id", "text", "marks")
     out = rows.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept binary")
     return out.withColumn("doc_id", key_back(F.col("doc_id")))

@@ -16,8 +16,8 @@ Ranges that are equal within some megabytes of text are settled there and sent o
 20,000 times in all would fill a bucket: their windows are sent one by one, dealt and compared by a 128-bit
 hash of their bytes.
 
-Defined cases: null texts are empty; each row is a document of its own when strings are compared, but rows
-that repeat a doc_id share what is removed; an empty table gives no rows; long texts are cut into overlapping
+Defined cases: null texts are empty; each row is a document of its own when strings are compared, and what is
+removed is kept by doc_id and text, so that rows that repeat or lack a doc_id keep what is theirs alone; an empty table gives no rows; long texts are cut into overlapping
 slices, which loses no window; further columns are left alone.
 """
 
@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.anchors import Rolling, byte_values, groups, ranges, smallest, spread
-from tidemill.llm.common import key_back, stored, texts
+from tidemill.llm.common import key_back, keyed_texts, stored
 from tidemill.llm.sketch import SCHEMA, Estimate, TaskSketch, bits_for
 
 WINDOW, LEAD = 400, 32
 #: Window starts looked at together, bytes of all texts that one bucket stands for, and leading bytes sampled.
 STRETCH, BUCKET, SAMPLE = 1 << 19, 6 << 20, 50_000
-_MARKS = "doc_id long, start long, stop long"
+_MARKS = "doc_id long, sub long, start long, stop long"
 
 
 class Stretch:
@@ -62,7 +62,7 @@ class Stretch:
 def _stretches(batches: Iterator[pa.RecordBatch], window: int, lead: int) -> Iterator[Stretch]:
     held, size = [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for doc, text in zip(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True), batch.columns[-1], strict=True):
             data = text.as_py().encode()
             for at in range(0, max(1, len(data) - window + 1), STRETCH):
                 part = data[at : at + STRETCH + window - 1]
@@ -95,10 +95,10 @@ def _first_pass(bits: int, stride: int, window: int, lead: int):
 
 
 # Columns of what is sent to a bucket: ranges (the anchor's offset, the number of windows, their bytes), single
-# windows of very common anchors by hash, and marks that are settled.
+# windows of very common anchors by hash, and marks that are settled. doc, w_doc: doc_id and sub in turn.
 _RANGES = {"doc": "<i8", "at": "<i8", "off": "<i4", "n": "<i4", "bytes": "u1"}
 _SINGLE = {"w_doc": "<i8", "w_at": "<i8", "w_a": "<u8", "w_b": "<u8"}
-_SETTLED = {"m_doc": "<i8", "m_start": "<i8", "m_stop": "<i8"}
+_SETTLED = {"m_doc": "<i8", "m_sub": "<i8", "m_start": "<i8", "m_stop": "<i8"}
 _ALL = _RANGES | _SINGLE | _SETTLED
 _SENT = "bucket int, " + ", ".join(f"{k} binary" for k in _ALL)
 
@@ -127,7 +127,7 @@ def _send(estimate, splitters: np.ndarray, buckets: int, window: int, lead: int)
             a, b = s.rolling.of(s.first[own], end), other.of(s.first[own], end) if len(own) else np.zeros(0, np.uint64)
             order, again, twin = _equal_before(b, a, s.n[own], s.anchor[own] - s.first[own])
             for i in own[order[twin]]:
-                marks.append((s.doc[i], s.at[i], s.at[i] + s.n[i] + window - 1))
+                marks.append((*s.doc[i], s.at[i], s.at[i] + s.n[i] + window - 1))
             own = own[order[~again]]
             bucket = np.searchsorted(splitters, s.leads(own), "right")
             sort = np.argsort(bucket, kind="stable")
@@ -139,10 +139,10 @@ def _send(estimate, splitters: np.ndarray, buckets: int, window: int, lead: int)
             start = spread(s.first[hot], s.n[hot])
             if len(start):
                 a, b = s.rolling.of(start, start + window), other.of(start, start + window)
-                doc, at = np.repeat(s.doc[hot], s.n[hot]), spread(s.at[hot], s.n[hot])
+                doc, at = np.repeat(s.doc[hot], s.n[hot], axis=0), spread(s.at[hot], s.n[hot])
                 order, again, twin = _equal_before(b, a)
                 t = order[twin]
-                t = t[np.lexsort((at[t], doc[t]))]
+                t = t[np.lexsort((at[t], *doc[t].T[::-1]))]
                 marks += _intervals(doc[t], at[t], window)
                 i = order[~again]
                 bucket = (a[i] % np.uint64(buckets)).astype(np.int64)
@@ -160,13 +160,13 @@ def _send(estimate, splitters: np.ndarray, buckets: int, window: int, lead: int)
     return go
 
 
-def _intervals(doc: np.ndarray, at: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """doc, start and stop of the bytes of windows given in order of document and place."""
+def _intervals(doc: np.ndarray, at: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """doc_id, sub, start and stop of the bytes of windows given in order of document and place."""
     if not len(at):
         return []
-    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + window))))
+    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]).any(axis=1) | (at[1:] > at[:-1] + window))))
     last = np.concatenate((new[1:], [len(at)])) - 1
-    return list(zip(doc[new].tolist(), at[new].tolist(), (at[last] + window).tolist(), strict=True))
+    return list(zip(*doc[new].T.tolist(), at[new].tolist(), (at[last] + window).tolist(), strict=True))
 
 
 def multikey(keys: np.ndarray) -> np.ndarray:
@@ -241,25 +241,26 @@ def repeated_windows(data: np.ndarray, off: np.ndarray, n: np.ndarray, window: i
 def _compare(window: int, lead: int):
     def go(table: pa.Table) -> pa.Table:
         got = {k: np.concatenate([np.frombuffer(x, t) for x in table.column(k).to_pylist()]) for k, t in _ALL.items()}
+        got |= {k: got[k].reshape(-1, 2) for k in ("doc", "w_doc")}
         n = got["n"].astype(np.int64)
         hit = repeated_windows(got["bytes"], got["off"].astype(np.int64), n, window, lead)
-        marks = [(got["m_doc"], got["m_start"], got["m_stop"])]
-        doc, at = np.repeat(got["doc"], n)[hit], spread(got["at"], n)[hit]
+        marks = [(got["m_doc"], got["m_sub"], got["m_start"], got["m_stop"])]
+        doc, at = np.repeat(got["doc"], n, axis=0)[hit], spread(got["at"], n)[hit]
         order, _, twin = _equal_before(got["w_b"], got["w_a"])
         t = order[twin]
         doc, at = np.concatenate((doc, got["w_doc"][t])), np.concatenate((at, got["w_at"][t]))
-        s = np.lexsort((at, doc))
+        s = np.lexsort((at, *doc.T[::-1]))
         if found := _intervals(doc[s], at[s], window):
             marks.append(tuple(np.array(found, np.int64).T))
         cols = [np.concatenate(c) for c in zip(*marks, strict=True)]
-        return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("doc_id", "start", "stop"), cols, strict=True)})
+        return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("doc_id", "sub", "start", "stop"), cols, strict=True)})
 
     return go
 
 
 def marks(docs: DataFrame, window: int = WINDOW, lead: int = LEAD) -> DataFrame:
-    """doc_id, start, stop: byte ranges covered by repeated strings, which may overlap."""
-    spark, rows = docs.sparkSession, texts(docs)
+    """doc_id, sub, start, stop: byte ranges covered by repeated strings, which may overlap."""
+    spark, rows = docs.sparkSession, keyed_texts(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = 2 * size / (window - lead + 2)
     bits, buckets = bits_for(expected), max(16, size // BUCKET)
@@ -296,7 +297,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, lead: int = LEAD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes) of each document."""
-    found = marks(docs, window, lead).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("marks"))
-    rows = texts(docs).join(found, "doc_id", "left").select("doc_id", "text", "marks")
+    found = marks(docs, window, lead).groupBy("doc_id", "sub").agg(F.collect_set(F.struct("start", "stop")).alias("marks"))
+    rows = keyed_texts(docs).join(found, ["doc_id", "sub"], "left").select("doc_id", "text", "marks")
     out = rows.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("doc_id", key_back(F.col("doc_id")))

@@ -4,6 +4,7 @@ import random
 
 import cases
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -94,11 +95,57 @@ def test_rows_that_share_an_id(spark, monkeypatch, hot, key):
     assert got == want and sorted(w[2] > 0 for w in want) == [False, True, True]
 
 
-def test_word_hashes_in_slices(monkeypatch):
+def test_words_in_slices(monkeypatch):
     text = " ".join(f"w{i % 91} ñ{i}" for i in range(3000)).encode()
-    whole = substring.word_hashes(text)
+    whole = substring.Words([(1, 2), (1, 3)], [text, b" a\t b\n"])
     monkeypatch.setattr(substring, "STRETCH", 100)
-    assert (substring.word_hashes(text) == whole).all() and len(whole) == 6000
+    cut = substring.Words([(1, 2), (1, 3)], [text, b" a\t b\n"])
+    assert (cut.hashes == whole.hashes).all() and (cut.start == whole.start).all() and (cut.end == whole.end).all()
+    assert cut.n.tolist() == whole.n.tolist() == [6000, 2]
+    # The white space between words doesn't count.
+    one, other = (substring.Words([(1, 2)], [t]) for t in (b"a b c a  b\tc", b"x a b c"))
+    assert (one.digests(np.array([0, 3]), 3) == other.digests(np.array([1, 1]), 3)).all()
+
+
+def twins(length: int = 1024) -> tuple[str, str]:
+    """Two words that every polynomial hash modulo a power of two takes for the same."""
+    bits = [bin(i).count("1") & 1 for i in range(length)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("apart", [False, True])
+def test_words_that_polynomials_confuse(spark, monkeypatch, hot, apart):
+    """Different words are never taken for equal, within one task and between tasks."""
+    if hot:
+        monkeypatch.setattr(sketch.Estimate, "__init__", _all_hot)
+    x, y = twins()
+    start = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{start} {x}"), (2, f"{start} {y}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2, "doc_id") if apart else spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert [r["n_removed"] for r in substring.remove_repeats(docs).collect()] == [0, 0]
+    assert [r["n_copies"] for r in ngram_join.near_duplicates(docs).collect()] == [1, 1]
+    want = cases.brute_suffix(rows, 400)
+    assert sorted((r[0], r[1], r[2], r[3], cases.sha(bytes(r[4]))) for r in suffix.remove_repeats(docs).collect()) == want
+
+
+def test_exact_shingles():
+    texts = [r[1] for r in cases.rows()]
+    of, own = ngram_join.exact_shingles([(t or "").encode() for t in texts])
+    sets = [cases.shingles(t) for t in texts]
+    for i, a in enumerate(sets):
+        assert (of == i).sum() == len(a)
+        for j in range(i):
+            assert len(np.intersect1d(own[of == i], own[of == j])) == len(a & sets[j])
+
+
+def test_only_survivors_are_verified(monkeypatch):
+    """Pairs that pruning drops have no links, though they be similar; the others have them."""
+    text, low = " ".join(f"w{i}" for i in range(50)), bytes(ngram_join.HASHES)
+    table = pa.table({"rep": [3, 1], "comp": [1, 1], "one": [0, 0], "two": [0, 0], "own": [0, 0], "low": [low, low], "text": [text, f"{text} x"]})
+    assert ngram_join._verify(table).to_pydict() == {"node": [1, 3], "root": [1, 1], "links": [1, 1]}
+    monkeypatch.setattr(ngram_join, "likely", lambda one, others: np.zeros(0, np.int64))
+    assert not ngram_join._verify(table).num_rows
 
 
 def check_join(spark, docs):
@@ -117,6 +164,8 @@ def test_join_in_blocks(spark, monkeypatch):
     """Groups larger than a block, and bands larger than a task takes."""
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
     monkeypatch.setattr(ngram_join, "BAND", 2)
+    monkeypatch.setattr(ngram_join, "BAND_BLOCKS", 3)
+    monkeypatch.setattr(ngram_join, "BAND_MOST", 4)
     check_join(spark, cases.frame(spark, 5))
 
 

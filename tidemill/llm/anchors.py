@@ -41,7 +41,11 @@ def byte_values(seed: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any runs of an array of 64-bit values."""
+    """Hashes of all runs of an array of 64-bit values, by a polynomial modulo 2^64.
+
+    Different runs may be made to collide, so these hashes choose anchors and buckets and never tell that two
+    runs are equal.
+    """
 
     def __init__(self, values: np.ndarray, seed: int = 0):
         bits = max(16, len(values).bit_length())
@@ -58,6 +62,28 @@ class Rolling:
         return mixed((self.sums[length : length + n] - self.sums[:n]) * self.back[:n])
 
 
+_PRIME = (1 << 31) - 1
+
+
+@functools.cache
+def _prime_powers(bits: int, base: int) -> np.ndarray:
+    """Powers of a base modulo the prime."""
+    out, step = np.ones(1, _U), base
+    while len(out) < 1 << bits:
+        out = np.concatenate((out, out * _U(step) % _U(_PRIME)))
+        step = step * step % _PRIME
+    return out
+
+
+def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of runs of bytes that also hold for runs made to collide modulo 2^64: a polynomial modulo a prime is mixed in."""
+    bits, base = max(16, len(data).bit_length()), 0x3A5F1C7D
+    sums = np.zeros(len(data) + 1, _U)
+    np.cumsum((byte_values(1) % _U(_PRIME))[data] * _prime_powers(bits, base)[: len(data)] % _U(_PRIME), out=sums[1:])
+    other = (sums[end] - sums[start]) % _U(_PRIME) * _prime_powers(bits, pow(base, -1, _PRIME))[start] % _U(_PRIME)
+    return mixed(Rolling(byte_values(0)[data]).of(start, end) ^ mixed(other))
+
+
 def smallest(runs: np.ndarray, width: int) -> np.ndarray:
     """By place: the place of the smallest of ``width`` runs from there on; the first of equal ones."""
     m, have = (runs & ~_MASK) | np.arange(len(runs), dtype=_U), 1

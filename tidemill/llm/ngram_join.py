@@ -1,18 +1,21 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles have a similarity of 0.8 or more.
 
 1. Every text becomes a set of shingle hashes, of which its MinHash values are kept. Documents with equal
-   sets are copies; one of each class of copies stands for them.
+   sets (by a 128-bit cryptographic digest of all their hashes) are copies; one of each class of copies stands for them.
 2. Classes that share a band (4 of 96 MinHash values) are candidates; a pair of similarity 0.8 shares none of
    the 24 bands in 3 cases of a million. In a band, MinHash values are compared 16 at a time, and a pair is
    dropped when the posterior probability that its similarity reaches the threshold falls below the
    tolerance (BayesLSH, uniform prior). What survives isn't listed pair by pair: a band's first class is
    compared with all others, and then only those that it didn't reach, so edges number less than classes.
+   Large bands are compared in pairs of blocks, each in a group of its own.
 3. Components of these edges hold every pair that may be similar. The texts of their classes meet there, in
    blocks of 1024 classes or 8 MB of text against each other, each pair of blocks in a group of its own, where
-   all pairs are pruned as above and the rest verified by exact intersections. Only the number of links of each class and a spanning set of links leave the task.
+   pairs are pruned as above. Those that survive, and no others, are verified by the exact sizes of their
+   intersections, over shingles of the words' own bytes and not of hashes. Only the number of links of each class
+   and a spanning set of links leave the task.
 4. Components of the verified links are the near-duplicate classes.
 
-Defined cases: null texts and texts without words have no shingles and are copies of each other; a text of
+Defined cases: null and empty texts, and those without words, have no shingles and are copies of each other; very long texts are taken whole; a text of
 one to four words is one shingle; one text of each class is compared, so rows that repeat a doc_id and its text
 get equal results and count once; rows that repeat a doc_id with another text, as rows without one do, get the
 results of their own texts; an empty table gives no rows; further columns are left alone.
@@ -21,6 +24,7 @@ results of their own texts; an empty table gives no rows; further columns are le
 from collections.abc import Iterator
 from fractions import Fraction
 import functools
+from hashlib import blake2b
 from math import exp, log
 
 import numpy as np
@@ -28,29 +32,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.anchors import Rolling, groups, mixed, spread
+from tidemill.llm.anchors import groups, mixed, spread
 from tidemill.llm.common import doc_key, key_back, keyed_texts, stored, text_key
 from tidemill.llm.graph import components
-from tidemill.llm.substring import word_hashes, word_stretches
+from tidemill.llm.substring import slices, word_stretches
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, Fraction(4, 5), 1e-6
 BANDS, ROWS, STEP = 24, 4, 16
 HASHES = BANDS * ROWS
-#: Classes compared with each other in one task, and classes of one band that a task takes.
-BLOCK, BAND = 1024, 100_000
+#: Classes compared with each other in one task; classes of a block of a band, in up to ``BAND_BLOCKS`` blocks, and those
+#: of a block beyond that. A band's m classes are sent once to each of its blocks, so their number is kept low.
+BLOCK, BAND, BAND_BLOCKS, BAND_MOST = 1024, 512, 16, 100_000
 #: Bytes of a component's texts that a block stands for, and of small components that are verified together.
 BLOCK_BYTES = 8 << 20
 
 _FACTORS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_sets(n: np.ndarray, words: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Document's number and hash of each distinct shingle, in order of both. n: words of each document."""
-    base = np.cumsum(n) - n
+def _starts(n: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document's number, first word and number of words of each shingle. n: words of each document."""
     many = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
-    start = spread(base, many)
     of = np.repeat(np.arange(len(n)), many)
-    own = Rolling(words, 1).of(start, start + np.minimum(n, shingle)[of])
+    return of, spread(np.cumsum(n) - n, many), np.minimum(n, shingle)[of]
+
+
+def hashed_shingles(n: np.ndarray, words: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Document's number and hash of each distinct shingle, in order of both. words: hashes of all words."""
+    of, start, size = _starts(n, shingle)
+    own = size.astype(np.uint64)
+    for k in range(shingle):
+        own = np.where(k < size, mixed(own) ^ words[np.minimum(start + k, len(words) - 1)], own) if len(own) else own
+    own = mixed(own)
     order = np.lexsort((own, of))
     of, own = of[order], own[order]
     new = np.ones(len(own), bool)
@@ -58,18 +70,44 @@ def shingle_sets(n: np.ndarray, words: np.ndarray, shingle: int = SHINGLE) -> tu
     return of[new], own[new]
 
 
+def exact_shingles(texts: list[bytes], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Document's number and shingle of each distinct shingle, in order of both. Words are numbered by their bytes,
+    and shingles by their words' numbers, so equal numbers mean equal words."""
+    known: dict[bytes, int] = {}
+    numbers, n = [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        for at, to in slices(text):
+            own = text[at:to].split()
+            numbers.append(np.fromiter((known.setdefault(w, len(known) + 1) for w in own), np.int64, len(own)))
+            n[i] += len(own)
+    words, wide = np.concatenate(numbers), len(known) + 1
+    of, start, size = _starts(n, shingle)
+    own, most = np.zeros(len(of), np.int64), 1
+    for k in range(shingle):
+        if most * wide >= 1 << 62:
+            own = np.unique(own, return_inverse=True)[1]
+            most = len(own)
+        own = own * wide + (np.where(k < size, words[np.minimum(start + k, len(words) - 1)], 0) if len(own) else own)
+        most *= wide
+    own = np.unique(own, return_inverse=True)[1]
+    wide = max(1, len(own))
+    both = np.unique(of * wide + own)
+    return both // wide, both % wide
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for docs, n, words in word_stretches(batches):
-        of, own = shingle_sets(n, words)
+    for words in word_stretches(batches):
+        docs = words.keys
+        of, own = hashed_shingles(words.n, words.hashes)
         size = np.bincount(of, minlength=len(docs))
         full = np.flatnonzero(size)
         edges = (np.cumsum(size) - size)[full]
-        sums = np.zeros((2, len(docs)), np.uint64)
         mins = np.zeros((len(docs), HASHES), np.uint64)
         if len(full):
-            sums[0, full], sums[1, full] = np.add.reduceat(own, edges), np.add.reduceat(mixed(own), edges)
             for k, f in enumerate(_FACTORS):
                 mins[full, k] = np.minimum.reduceat(own * f, edges)
+        raw, to = own.astype("<u8").tobytes(), np.cumsum(size) * 8
+        sums = np.frombuffer(b"".join([blake2b(raw[b - 8 * n : b], digest_size=16).digest() for n, b in zip(size.tolist(), to.tolist(), strict=True)]), "<i8").reshape(-1, 2).T
         keys = np.zeros((len(docs), BANDS), np.uint64)
         for r in range(ROWS):
             keys = mixed(keys + mins[:, r::ROWS])
@@ -77,7 +115,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = (mixed(mins) & np.uint64(0xFF)).astype(np.uint8)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(docs) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array(k, pa.int64()) for k in docs.T), pa.array(size, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), lists, pa.array([x.tobytes() for x in low], pa.binary())],
+            [*(pa.array(k, pa.int64()) for k in docs.T), pa.array(size, pa.int64()), *(pa.array(s, pa.int64()) for s in sums), lists, pa.array([x.tobytes() for x in low], pa.binary())],
             names=["doc_id", "sub", "bytes", "n", "d1", "d2", "bands", "low"],
         )
 
@@ -145,24 +183,6 @@ def _blocks(df: DataFrame, n: Column, key: str, parts: int, *group: str) -> Data
     return df.withColumn("bucket", F.when(F.col("_n") > 1, F.xxhash64(*group, "one", "two")).otherwise(few)).drop("_n", "_p")
 
 
-def _intersections(of: np.ndarray, own: np.ndarray, m: int) -> np.ndarray:
-    """Sizes of the intersections of all pairs of m sets, by products of incidence matrices over some columns at a time."""
-    order = np.argsort(own, kind="stable")
-    v, d = own[order], of[order]
-    new = np.concatenate(([True], v[1:] != v[:-1]))
-    column = np.cumsum(new) - 1
-    often = np.bincount(column)[column] > 1  # a shingle of one set meets none
-    column, d = column[often], d[often]
-    _, column = np.unique(column, return_inverse=True)
-    out = np.zeros((m, m), np.float32)
-    wide = max(64, (1 << 22) // max(m, 1))
-    for a, b in groups(column // wide):
-        part = np.zeros((m, wide), np.float32)
-        part[d[a:b], column[a:b] % wide] = 1
-        out += part @ part.T
-    return out.astype(np.int64)
-
-
 def _verify(table: pa.Table) -> pa.Table:
     """node, root, links: verified links of classes, counted, and each class's root among those of its task."""
     sort = np.lexsort(tuple(table.column(k).to_numpy() for k in ("rep", "two", "one", "comp")))
@@ -171,38 +191,34 @@ def _verify(table: pa.Table) -> pa.Table:
     keys = [table.column(k).to_numpy() for k in ("comp", "one", "two")]
     own_block = table.column("own").to_numpy()
     low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(-1, HASHES)
-    text = table.column("text")
+    of, shingles = exact_shingles([x.as_py().encode() for x in table.column("text")])
+    size = np.bincount(of, minlength=len(rep))
+    first = np.cumsum(size) - size
+    inside = np.zeros(int(shingles.max(initial=0)) + 1, bool)
     out = [[], [], []]
     for lo, hi in groups(*keys):
-        m = hi - lo
-        words = [word_hashes(text[i].as_py().encode()) for i in range(lo, hi)]
-        of, own = shingle_sets(np.array([len(w) for w in words]), np.concatenate(words))
-        size = np.bincount(of, minlength=m)
-        hit = np.zeros((m, m), bool)
         cross = keys[1][lo] != keys[2][lo]
-        block = own_block[lo:hi]
-        for i in range(m):
-            others = np.flatnonzero(block != block[i]) if cross else np.arange(i + 1, m)
-            others = others[others > i]
-            hit[i, others[likely(low[lo + i], low[lo:hi][others])]] = True
-        both = _intersections(of, own, m)
-        union = size[:, None] + size[None, :] - both
-        hit &= THRESHOLD.denominator * both >= THRESHOLD.numerator * union
-        links = hit.sum(axis=0) + hit.sum(axis=1)
-        root = list(range(m))
-
-        def find(x: int, root: list[int] = root) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for i, j in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
-            a, b = find(i), find(j)
-            root[max(a, b)] = min(a, b)
-        top = np.array([find(i) for i in range(m)])
+        links, root = np.zeros(hi - lo, np.int64), np.arange(hi - lo)
+        for i in range(lo, hi):
+            others = np.arange(i + 1, hi)
+            if cross:
+                others = others[own_block[i + 1 : hi] != own_block[i]]
+            others = others[likely(low[i], low[others])]
+            if not len(others):
+                continue
+            mine = shingles[first[i] : first[i] + size[i]]
+            inside[mine] = True
+            both = np.add.reduceat(inside[shingles[spread(first[others], size[others])]].astype(np.int64), np.cumsum(size[others]) - size[others])
+            inside[mine] = False
+            union = size[i] + size[others] - both
+            near = others[THRESHOLD.denominator * both >= THRESHOLD.numerator * union] - lo
+            if len(near):
+                links[i - lo] += len(near)
+                links[near] += 1
+                met = np.unique(root[np.append(near, i - lo)])
+                root[np.isin(root, met)] = met[0]
         linked = np.flatnonzero(links)
-        for x, v in zip(out, (rep[lo:hi][linked], rep[lo:hi][top[linked]], links[linked]), strict=True):
+        for x, v in zip(out, (rep[lo:hi][linked], rep[lo:hi][root[linked]], links[linked]), strict=True):
             x.append(v)
     return pa.table({k: pa.array(np.concatenate(v), pa.int64()) for k, v in zip(("node", "root", "links"), out, strict=True)})
 
@@ -222,7 +238,8 @@ def _classified(docs: DataFrame) -> DataFrame:
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     banded = stored(banded.join(shared, "key"), "bands")
     tasks = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = _blocks(banded.join(classes.select("rep", "low"), "rep"), F.ceil(F.col("size") / BAND), "rep", max(4 * tasks, banded.count() // BAND), "key")
+    blocks = F.least(F.ceil(F.col("size") / BAND), F.greatest(F.lit(BAND_BLOCKS), F.ceil(F.col("size") / BAND_MOST)))
+    met = _blocks(banded.join(classes.select("rep", "low"), "rep"), blocks, "rep", max(4 * tasks, banded.count() // BAND_MOST), "key")
     edges = met.select("bucket", "key", (F.col("one") * 100_000 + F.col("two")).alias("part"), "rep", "low").groupBy("bucket").applyInArrow(_band_edges, "a long, b long")
 
     nodes = _members(components(edges)).toDF("rep", "comp")

@@ -2,109 +2,122 @@
 
 First pass: each range of windows counts its anchor (see ``anchors``) in a count-min sketch. A window's own
 count is at most its anchor's, so the merged sketch overestimates it. Second pass: only windows whose anchor
-is estimated as repeated are grouped exactly, by their own and their anchor's 64-bit hashes; none that is
-repeated can be missing. Within some megabytes of text a repeat is settled on the spot and only the first of
+is estimated as repeated are grouped exactly, by a 128-bit cryptographic digest (BLAKE2b) of their words' own
+bytes; none that is repeated can be missing. Hashes of words only choose anchors and buckets: two that collide
+cost time, not results. Within some megabytes of text a repeat is settled on the spot and only the first of
 equal windows is sent on, so a window that a third of all documents share is sent once a stretch and not once
-a document. Windows meet by their anchor, those of very common anchors by their own hash, so no place
+a document. Windows meet by their anchor, those of very common anchors by their own digest, so no place
 gathers more than its share.
 
-Defined cases: null texts have no words; a doc_id stands for one document, so rows that repeat it with the
+Defined cases: null and empty texts have no words; very long texts are read in slices that end at white space, and
+all their windows are compared; a doc_id stands for one document, so rows that repeat it with the
 same text get equal results and don't remove each other; rows that repeat it with another text, as rows without
 one do, are documents of their own, in order of their texts' hashes; an empty table gives no rows; further columns are left alone.
 """
 
 from collections.abc import Iterator
+from hashlib import blake2b
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.anchors import Rolling, byte_values, collapse, groups, ranges, smallest, spread
+from tidemill.llm.anchors import Rolling, collapse, groups, hash_runs, ranges, smallest, spread
 from tidemill.llm.common import key_back, keyed_texts
 from tidemill.llm.sketch import SCHEMA, Estimate, TaskSketch, bits_for
 
 WINDOW, RUN = 20, 6
 #: Bytes of text looked at together, and bytes of all texts that one bucket stands for.
 STRETCH, BUCKET = 2_000_000, 8 << 20
-
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of one text."""
-    out, at = [], 0
-    while at < len(data):
-        to = at + STRETCH
-        while to < len(data) and not _SPACE[data[to]]:  # a slice ends before white space
-            to += 1
-        part = np.frombuffer(data, np.uint8, min(to, len(data)) - at, at)
-        inside = np.concatenate(([False], ~_SPACE[part], [False]))
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        out.append(Rolling(byte_values(0)[part]).of(edges[::2], edges[1::2]))
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def slices(text: bytes) -> Iterator[tuple[int, int]]:
+    """A text's slices, which end before white space."""
+    at = 0
+    while at < len(text):
+        end = _SPACE.search(text, at + STRETCH)
+        to = end.start() if end else len(text)
+        yield at, to
         at = to
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def word_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Keys (the columns before the text) and number of words of documents, and all their words' hashes, some megabytes at a time."""
-    docs, held, size = [], [], 0
 
-    def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        # Short texts are hashed together; a space between them keeps their words apart.
-        joint = b" ".join(texts)
-        inside = np.concatenate(([False], ~_SPACE[np.frombuffer(joint, np.uint8)]))
-        begun = np.concatenate(([0], np.cumsum(inside[1:] & ~inside[:-1])))
-        upto = begun[np.cumsum([len(x) + 1 for x in texts]) - 1]
-        whole = word_hashes(joint)
-        return np.diff(np.concatenate(([0], upto))), whole
 
+class Words:
+    """The words of some documents: keys and numbers of words by document, and of all words the hashes, and where
+    each begins and ends in the documents joined by spaces."""
+
+    def __init__(self, keys: list[tuple], texts: list[bytes]):
+        self.keys, self.joint = np.array(keys, np.int64), b" ".join(texts)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        for at, to in slices(self.joint):
+            part = np.frombuffer(self.joint, np.uint8, to - at, at)
+            inside = np.concatenate(([False], ~_IS_SPACE[part], [False]))
+            edges = np.flatnonzero(inside[1:] != inside[:-1])
+            found.append((edges[::2] + at, edges[1::2] + at, hash_runs(part, edges[::2], edges[1::2])))
+        self.start, self.end, self.hashes = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.n = np.diff(np.searchsorted(self.start, np.cumsum([0, *(len(x) + 1 for x in texts)])))
+        # How many gaps before each word aren't one space.
+        odd = (self.start[1:] - self.end[:-1] != 1) | (np.frombuffer(self.joint, np.uint8)[self.end[:-1]] != 32)
+        self.odd = np.concatenate(([0], np.cumsum(odd)))
+
+    def digests(self, first: np.ndarray, words: int) -> np.ndarray:
+        """Two numbers for each run of words: the digest of its bytes, one space between words."""
+        joint, last = self.joint, first + words - 1
+        runs = zip(self.start[first].tolist(), self.end[last].tolist(), (self.odd[first] == self.odd[last]).tolist(), strict=True)
+        own = [blake2b(joint[a:b] if even else b" ".join(joint[a:b].split()), digest_size=16).digest() for a, b, even in runs]
+        return np.frombuffer(b"".join(own), "<u8").reshape(-1, 2)
+
+
+def word_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+    """Some megabytes of documents at a time; their keys are the columns before the text."""
+    keys, held, size = [], [], 0
     for batch in batches:
-        for doc, text in zip(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True), batch.columns[-1], strict=True):
-            docs.append(doc)
+        for key, text in zip(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True), batch.columns[-1], strict=True):
+            keys.append(key)
             held.append(text.as_py().encode())
             size += len(held[-1])
             if size > STRETCH:
-                yield np.array(docs, np.int64), *joined(held)
-                docs, held, size = [], [], 0
-    if docs:
-        yield np.array(docs, np.int64), *joined(held)
+                yield Words(keys, held)
+                keys, held, size = [], [], 0
+    if keys:
+        yield Words(keys, held)
 
 
 class Windows:
     """The windows of a stretch, in ranges that share their anchor."""
 
-    def __init__(self, doc: np.ndarray, n: np.ndarray, words: np.ndarray, window: int, run: int):
-        rolling = Rolling(words, 1)
-        base = np.cumsum(n) - n
-        many = np.maximum(n - window + 1, 0)
-        runs = rolling.all(run)
+    def __init__(self, words: Words, window: int, run: int):
+        base = np.cumsum(words.n) - words.n
+        many = np.maximum(words.n - window + 1, 0)
+        runs = Rolling(words.hashes, 1).all(run)
         anchor, self.first, self.n = ranges(smallest(runs, window - run + 1), spread(base, many))
         self.anchor = runs[anchor]
-        self.rolling, self.window = rolling, window
+        self.words, self.window = words, window
         of = np.searchsorted(base + many, self.first, "right")
-        self.doc, self.at = doc[of], self.first - base[of]
+        self.doc, self.at = words.keys[of], self.first - base[of]
 
     def pick(self, keep: np.ndarray) -> tuple[np.ndarray, ...]:
-        """anchor, doc (a row of two keys), place and hash of each window of the ranges to keep."""
+        """anchor, doc (a row of two keys), place and digest of each window of the ranges to keep."""
         n = self.n[keep]
-        start = spread(self.first[keep], n)
-        return np.repeat(self.anchor[keep], n), np.repeat(self.doc[keep], n, axis=0), spread(self.at[keep], n), self.rolling.of(start, start + self.window)
+        return np.repeat(self.anchor[keep], n), np.repeat(self.doc[keep], n, axis=0), spread(self.at[keep], n), self.words.digests(spread(self.first[keep], n), self.window)
 
 
-def repeats(anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeats(doc: np.ndarray, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by window, document and place; and in that order whether a window has one before it elsewhere."""
-    order = np.lexsort((at, *doc.T[::-1], anchor, own))
-    a, d, p, o = anchor[order], doc[order], at[order], own[order]
-    new = np.concatenate(([True], (o[1:] != o[:-1]) | (a[1:] != a[:-1]))) if len(o) else np.zeros(0, bool)
+    order = np.lexsort((at, *doc.T[::-1], *own.T))
+    d, p, o = doc[order], at[order], own[order]
+    new = np.concatenate(([True], (o[1:] != o[:-1]).any(axis=1))) if len(o) else np.zeros(0, bool)
     first = np.maximum.accumulate(np.where(new, np.arange(len(o)), 0)) if len(o) else np.zeros(0, np.int64)
     return order, (d != d[first]).any(axis=1) | (p != p[first])
 
 
-_SENT = "bucket int, anchor binary, doc binary, at binary, n binary, own binary"
-#: doc: doc_id and sub in turn.
-_KINDS = {"anchor": "<u8", "doc": "<i8", "at": "<i8", "n": "<i4", "own": "<u8"}
+_SENT = "bucket int, doc binary, at binary, n binary, own binary"
+#: doc: doc_id and sub in turn; own: the digest's two numbers in turn.
+_KINDS = {"doc": "<i8", "at": "<i8", "n": "<i4", "own": "<u8"}
 
 
 def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,7 +134,7 @@ def _sketch(bits: int, window: int, run: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = TaskSketch(bits)
         for x in word_stretches(batches):
-            yield from sketch.add(Windows(*x, window, run).anchor)
+            yield from sketch.add(Windows(x, window, run).anchor)
         yield sketch.rows()
 
     return go
@@ -130,30 +143,29 @@ def _sketch(bits: int, window: int, run: int):
 def _send(estimate, buckets: int, window: int, run: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for turn, x in enumerate(word_stretches(batches)):
-            w = Windows(*x, window, run)
+            w = Windows(x, window, run)
             keep = estimate.value.repeated(w.anchor)
             anchor, doc, at, own = w.pick(keep)
-            order, again = repeats(anchor, doc, at, own)
+            order, again = repeats(doc, at, own)
             mark = np.zeros(len(own), bool)
             mark[order[again]] = True
             rows = []
-            # What is settled already goes along as ranges without hashes.
+            # What is settled already goes along as ranges without digests.
             d, p, n = _runs(doc[mark], at[mark])
-            none = np.zeros(0, "<u8")
             if len(d):
-                rows.append((int(d[0, 0] + turn) % buckets, none, d, p, n, none))
+                rows.append((int(d[0, 0] + turn) % buckets, d, p, n, np.zeros(0, "<u8")))
             anchor, doc, at, own = (v[~mark] for v in (anchor, doc, at, own))
-            key = np.where(estimate.value.very_common(anchor), own, anchor)
+            key = np.where(estimate.value.very_common(anchor), own[:, 0], anchor)
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             s = np.lexsort((at, *doc.T[::-1], bucket))
-            anchor, doc, at, own, bucket = (v[s] for v in (anchor, doc, at, own, bucket))
+            doc, at, own, bucket = (v[s] for v in (doc, at, own, bucket))
             if len(own):
-                same = (bucket[1:] == bucket[:-1]) & (doc[1:] == doc[:-1]).all(axis=1) & (at[1:] == at[:-1] + 1) & (anchor[1:] == anchor[:-1])
+                same = (bucket[1:] == bucket[:-1]) & (doc[1:] == doc[:-1]).all(axis=1) & (at[1:] == at[:-1] + 1)
                 new = np.flatnonzero(np.concatenate(([True], ~same)))
                 n = np.diff(np.concatenate((new, [len(own)])))
                 for a, b in groups(bucket[new]):
                     i = new[a:b]
-                    rows.append((int(bucket[i[0]]), anchor[i], doc[i], at[i], n[a:b], own[i[0] : i[0] + n[a:b].sum()]))
+                    rows.append((int(bucket[i[0]]), doc[i], at[i], n[a:b], own[i[0] : i[0] + n[a:b].sum()]))
             cols = [pa.array([r[0] for r in rows], pa.int32())]
             cols += [pa.array([r[i].astype(t).tobytes() for r in rows], pa.binary()) for i, t in enumerate(_KINDS.values(), 1)]
             yield pa.RecordBatch.from_arrays(cols, names=["bucket", *_KINDS])
@@ -166,12 +178,11 @@ def _settle(table: pa.Table) -> pa.Table:
     got = {k: [np.frombuffer(x, t) for x in table.column(k).to_pylist()] for k, t in _KINDS.items()}
     settled = [i for i, x in enumerate(got["own"]) if not len(x)]
     live = [i for i, x in enumerate(got["own"]) if len(x)]
-    got["doc"] = [x.reshape(-1, 2) for x in got["doc"]]
-    pick = lambda k, rows: np.concatenate([got[k][i] for i in rows] or [np.zeros((0, 2) if k == "doc" else 0, _KINDS[k])])
+    got |= {k: [x.reshape(-1, 2) for x in got[k]] for k in ("doc", "own")}
+    pick = lambda k, rows: np.concatenate([got[k][i] for i in rows] or [np.zeros((0, 2) if k in ("doc", "own") else 0, _KINDS[k])])
     n = pick("n", live)
-    anchor, doc = (np.repeat(pick(k, live), n, axis=0) for k in ("anchor", "doc"))
-    at, own = spread(pick("at", live), n), pick("own", live)
-    order, again = repeats(anchor, doc, at, own)
+    doc, at, own = np.repeat(pick("doc", live), n, axis=0), spread(pick("at", live), n), pick("own", live)
+    order, again = repeats(doc, at, own)
     d, p, n = _runs(doc[order[again]], at[order[again]])
     out = [np.concatenate((x, pick(k, settled))) for k, x in (("doc", d), ("at", p), ("n", n))]
     return pa.table({"doc_id": pa.array(out[0][:, 0], pa.int64()), "sub": pa.array(out[0][:, 1], pa.int64()), "at": pa.array(out[1], pa.int64()), "n": pa.array(out[2], pa.int32())})

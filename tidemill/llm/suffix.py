@@ -12,16 +12,17 @@ range shares its class of prefixes of 400 - o bytes and its class of the o bytes
 are compared, not hashes. Equal leading bytes never lie on both sides of a splitter, so no two buckets have
 suffixes to compare.
 
-Ranges that are equal within some megabytes of text are settled there and sent once. Anchors that occur over
+Ranges whose bytes are equal within some megabytes of text are settled there and sent once. Anchors that occur over
 20,000 times in all would fill a bucket: their windows are sent one by one, dealt and compared by a 128-bit
-hash of their bytes.
+cryptographic digest (BLAKE2b) of their bytes.
 
-Defined cases: null texts are empty; each row is a document of its own when strings are compared, and what is
+Defined cases: null and empty texts have nothing to remove; each row is a document of its own when strings are compared, and what is
 removed is kept by doc_id and text, so that rows that repeat or lack a doc_id keep what is theirs alone; an empty table gives no rows; long texts are cut into overlapping
 slices, which loses no window; further columns are left alone.
 """
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 from numpy.lib.stride_tricks import sliding_window_view
@@ -46,8 +47,7 @@ class Stretch:
         self.data = np.frombuffer(b"".join(x for _, _, x in entries) + bytes(lead), np.uint8)
         size = np.array([len(x) for _, _, x in entries])
         base, many = np.cumsum(size) - size, np.maximum(size - window + 1, 0)
-        self.rolling = Rolling(byte_values(0)[self.data])
-        grams = self.rolling.all(lead)
+        grams = Rolling(byte_values(0)[self.data]).all(lead)
         self.anchor, self.first, self.n = ranges(smallest(grams, window - lead + 1), spread(base, many))
         self.gram = grams[self.anchor]
         of = np.searchsorted(base + size, self.first, "right")
@@ -95,7 +95,7 @@ def _first_pass(bits: int, stride: int, window: int, lead: int):
 
 
 # Columns of what is sent to a bucket: ranges (the anchor's offset, the number of windows, their bytes), single
-# windows of very common anchors by hash, and marks that are settled. doc, w_doc: doc_id and sub in turn.
+# windows of very common anchors by digest, and marks that are settled. doc, w_doc: doc_id and sub in turn.
 _RANGES = {"doc": "<i8", "at": "<i8", "off": "<i4", "n": "<i4", "bytes": "u1"}
 _SINGLE = {"w_doc": "<i8", "w_at": "<i8", "w_a": "<u8", "w_b": "<u8"}
 _SETTLED = {"m_doc": "<i8", "m_sub": "<i8", "m_start": "<i8", "m_stop": "<i8"}
@@ -120,25 +120,24 @@ def _send(estimate, splitters: np.ndarray, buckets: int, window: int, lead: int)
             keep = np.flatnonzero(estimate.value.repeated(s.gram))
             common = estimate.value.very_common(s.gram[keep])
             marks = []
-            other = Rolling(byte_values(1)[s.data], 2) if len(keep) else None
-            # Ranges whose bytes, length and offset are equal here.
-            own = keep[~common]
-            end = s.first[own] + s.n[own] + window - 1
-            a, b = s.rolling.of(s.first[own], end), other.of(s.first[own], end) if len(own) else np.zeros(0, np.uint64)
-            order, again, twin = _equal_before(b, a, s.n[own], s.anchor[own] - s.first[own])
-            for i in own[order[twin]]:
+            # Ranges whose bytes and offset are equal here: the first stands for all.
+            data, seen, twin = s.data.tobytes(), {}, np.zeros(len(s.first), bool)
+            first, off, end = s.first[keep], s.anchor[keep] - s.first[keep], s.first[keep] + s.n[keep] + window - 1
+            stands = np.array([seen.setdefault((o, data[a:b]), i) for i, o, a, b in zip(keep.tolist(), off.tolist(), first.tolist(), end.tolist(), strict=True)], np.int64)
+            twin[keep[stands != keep]] = True
+            twin[stands[stands != keep]] = True
+            for i in np.flatnonzero(twin):
                 marks.append((*s.doc[i], s.at[i], s.at[i] + s.n[i] + window - 1))
-            own = own[order[~again]]
+            own, hot = keep[(stands == keep) & ~common], keep[(stands == keep) & common]
             bucket = np.searchsorted(splitters, s.leads(own), "right")
             sort = np.argsort(bucket, kind="stable")
             for lo, hi in groups(bucket[sort]):
                 i = own[sort[lo:hi]]
                 rows[int(bucket[sort[lo]])] = {"doc": s.doc[i], "at": s.at[i], "off": s.anchor[i] - s.first[i], "n": s.n[i], "bytes": s.data[spread(s.first[i], s.n[i] + window - 1)]}
             # Windows of very common anchors, one by one.
-            hot = keep[common]
             start = spread(s.first[hot], s.n[hot])
             if len(start):
-                a, b = s.rolling.of(start, start + window), other.of(start, start + window)
+                a, b = np.frombuffer(b"".join([blake2b(data[x : x + window], digest_size=16).digest() for x in start.tolist()]), "<u8").reshape(-1, 2).T
                 doc, at = np.repeat(s.doc[hot], s.n[hot], axis=0), spread(s.at[hot], s.n[hot])
                 order, again, twin = _equal_before(b, a)
                 t = order[twin]

@@ -10,7 +10,8 @@ from tidemill.llm.common import documents, key_back, stored
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of strings of 400 bytes that also start elsewhere."""
     out = suffix.remove_repeats(documents(spark, sf_dir))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # What was removed stands first, as it is what the query is about; the text's length says nothing of it.
+    return out.select("doc_id", "n_removed", "n_spans", "n_bytes", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,14 +31,14 @@ def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records in two replicas; in the second, one byte of every record whose id's hash is 7
     in 1000 is replaced. A row per record: where it lies, its leaf hash in the first, and what the audit says."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    a = warc.write_replica(pages, "replica-a")
-    hit = warc.number_of("page_id") % 1000 == 7
-    flipped = F.concat(F.expr("substring(record, 1, length - 10)"), F.lit(bytearray(b"#")), F.expr("substring(record, length - 8)"))
-    b = stored(a.withColumn("record", F.when(hit, flipped).otherwise(F.col("record"))), "replica-b")
-    tree_a, tree_b = warc.tree(a, "tree-a"), warc.tree(b, "tree-b")
+    size = F.octet_length("record")
+    flipped = F.concat(F.substring("record", F.lit(1), size - 10), F.lit(bytearray(b"#")), F.substring("record", size - 8, F.lit(9)))
+    second = F.when(warc.number_of("page_id") % 1000 == 7, flipped).otherwise(F.col("record"))
+    rows = warc.placed(warc.metadata(warc.records(pages), second), "warc", warc.segments_for(pages))
+    tree_a, tree_b = warc.tree(warc.leaves(rows), "tree-a"), warc.tree(warc.leaves(rows, "copy_length", "copy_digest"), "tree-b")
     found = warc.audit(tree_a, tree_b)
-    leaf = tree_a.filter("level = 0").select("segment", F.col("node").alias("seq"), F.col("hash").alias("leaf"))
-    out = a.drop("record").join(leaf, ["segment", "seq"]).join(found, ["segment", "seq"], "left")
+    leaf = warc.leaves(rows).select("segment", F.col("node").alias("seq"), F.col("hash").alias("leaf"))
+    out = rows.join(leaf, ["segment", "seq"]).join(found, ["segment", "seq"], "left")
     return out.select("page_id", "segment", "seq", "offset", "length", "leaf", F.coalesce("state", F.lit("equal")).alias("state"))
 
 
@@ -133,9 +133,10 @@ SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, n_copies FROM every JO
 _OP4 = r"""WITH r AS (
   SELECT page_id, coalesce(url, '') AS url, 'WARC/1.1~WARC-Type: resource~WARC-Record-ID: <urn:page:' || page_id || '>~WARC-Target-URI: ' || coalesce(url, '') || '~Content-Type: text/html~WARC-Block-Digest: sha256:'
     || sha256(coalesce(html, '')) || '~Content-Length: ' || strlen(coalesce(html, '')) || '~~' || coalesce(html, '') || '~~' AS record FROM pages),
-s AS (SELECT *, CAST(('0x' || substr(md5(page_id || '|' || url), 1, 8))::BIGINT % 256 AS INT) AS segment, CAST(strlen(record) AS BIGINT) AS length FROM r),
-p AS (SELECT *, row_number() OVER w - 1 AS seq, CAST(coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM s WINDOW w AS (PARTITION BY segment ORDER BY page_id, url, length))
-SELECT page_id, segment, seq, start AS "offset", length, sha256(seq || ':' || start || ':' || length || ':' || sha256(record)) AS leaf,
+d AS (SELECT *, sha256(record) AS digest, CAST(strlen(record) AS BIGINT) AS length FROM r),
+s AS (SELECT *, CAST(('0x' || substr(md5(page_id || '|' || url || '|' || digest), 1, 8))::BIGINT % (SELECT greatest(256, coalesce(sum(strlen(html)), 0) // 134217728) FROM pages) AS INT) AS segment FROM d),
+p AS (SELECT *, row_number() OVER w - 1 AS seq, CAST(coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM s WINDOW w AS (PARTITION BY segment ORDER BY page_id, url, length, digest))
+SELECT page_id, segment, seq, start AS "offset", length, sha256(seq || ':' || start || ':' || length || ':' || digest) AS leaf,
   CASE WHEN ('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8))::BIGINT % 1000 = 7 THEN 'changed' ELSE 'equal' END AS state FROM p"""
 _OP4 = _OP4.replace("~", "' || chr(13) || chr(10) || '")
 

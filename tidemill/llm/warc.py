@@ -1,12 +1,15 @@
 """WARC records with Merkle fixity: two replicas are compared by their trees, from the root down.
 
-A replica is a table of serialised records (segment, seq, offset, length, record), so it lies in any store
-that Spark writes. Records hash to leaves; each ``fanout`` consecutive leaves or nodes of a segment, an
-ordered range of offsets, hash to a node, up to the segment's root, and the segments' roots to the replica's.
-The audit starts with the roots and joins only the children of nodes that differ.
-
-Defined cases: null columns are written as empty; repeated pages give records of their own; an empty table
-gives one empty tree; further columns are left alone; a record that one replica lacks is reported missing.
+Records are serialised where their pages are read. What is shuffled is their metadata alone (id, address, length
+and SHA-256 of the record): it deals records to segments, puts them in order, and gives them their offsets. Records
+hash to leaves, over their place as well as their bytes; each ``fanout`` consecutive leaves or nodes of a segment,
+an ordered range of offsets, hash to a node, up to the segment's root, and the segments' roots to the replica's. The
+audit compares the replicas' roots and stops if they are equal; if not, it goes from the segments' roots down and
+joins only the children of nodes that differ.
+
+Defined cases: null columns are written as empty; empty and very long bodies are records like others; repeated pages
+give records of their own, whose order among each other doesn't matter as they are equal; an empty table
+gives one empty tree; further columns, of whatever names, are left alone; a record that one replica lacks is reported missing.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -37,37 +40,51 @@ def number_of(*columns: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *columns).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def write_replica(pages: DataFrame, name: str, segments: int | None = None) -> DataFrame:
-    """Serialises pages into segments dealt by a hash of the id, in order of id, with offsets; stored and read back."""
-    if segments is None:
-        segments = max(SEGMENTS, (pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0) // SEGMENT_BYTES)
-    w = W.partitionBy("segment").orderBy("page_id", "url", "length")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    rows = rows.select((number_of("page_id", "url") % segments).cast("int").alias("segment"), "*", F.octet_length("record").cast("long").alias("length"))
-    rows = rows.withColumns({"seq": F.row_number().over(w).cast("long") - 1, "offset": F.coalesce(F.sum("length").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))})
-    return stored(rows.select("segment", "seq", "page_id", "offset", "length", "record"), name)
+def records(pages: DataFrame) -> DataFrame:
+    """page_id, url and record of each page; nothing is shuffled."""
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+
+
+def metadata(rows: DataFrame, copy: Column | None = None) -> DataFrame:
+    """page_id, url, length and digest of records; with ``copy``, another replica's bytes, also copy_length and copy_digest."""
+    digest = lambda c: F.sha2(c, 256)
+    own = [F.octet_length("record").cast("long").alias("length"), digest(F.col("record")).alias("digest")]
+    more = [] if copy is None else [F.octet_length(copy).cast("long").alias("copy_length"), digest(copy).alias("copy_digest")]
+    return rows.select("page_id", "url", *own, *more)
+
+
+def segments_for(pages: DataFrame) -> int:
+    return max(SEGMENTS, (pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0) // SEGMENT_BYTES)
 
 
-def parse(records: DataFrame) -> DataFrame:
+def placed(rows: DataFrame, name: str, segments: int = SEGMENTS) -> DataFrame:
+    """Adds segment, seq and offset to records' metadata, stored. The record's digest decides with its id, so that no page fills a segment with its versions."""
+    w = W.partitionBy("segment").orderBy("page_id", "url", "length", "digest")
+    out = rows.withColumn("segment", (number_of("page_id", "url", "digest") % segments).cast("int"))
+    before = F.coalesce(F.sum("length").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    return stored(out.withColumns({"seq": F.row_number().over(w).cast("long") - 1, "offset": before}), name)
+
+
+def parse(rows: DataFrame) -> DataFrame:
     """page_id, url, html, digest_ok of serialised records."""
     text = F.decode("record", "utf-8")
     head, at = F.split_part(text, F.lit("\r\n\r\n"), F.lit(1)), F.instr(text, "\r\n\r\n")
     html = F.substring(text, at + 4, F.length(text) - at - 7)
     field = lambda name: F.regexp_extract(head, rf"(?m)^{name}: (.*)\r?$", 1)
-    out = records.select("segment", "seq", F.regexp_extract(head, "<urn:page:([^>]*)>", 1).alias("page_id"), field("WARC-Target-URI").alias("url"), html.alias("html"), field("WARC-Block-Digest").alias("_digest"))
+    out = rows.select(F.regexp_extract(head, "<urn:page:([^>]*)>", 1).alias("page_id"), field("WARC-Target-URI").alias("url"), html.alias("html"), field("WARC-Block-Digest").alias("_digest"))
     return out.withColumn("digest_ok", F.col("_digest") == F.concat(F.lit("sha256:"), F.sha2(F.encode("html", "utf-8"), 256))).drop("_digest")
 
 
-def leaves(replica: DataFrame) -> DataFrame:
+def leaves(replica: DataFrame, length: str = "length", digest: str = "digest") -> DataFrame:
     """level 0 of the tree: a hash per record, over its place as well as its bytes."""
-    place = F.concat_ws(":", "seq", "offset", "length", F.sha2("record", 256))
-    return replica.select("segment", F.lit(0).alias("level"), F.col("seq").alias("node"), F.sha2(place.cast("binary"), 256).alias("hash"), "offset", (F.col("offset") + F.col("length")).alias("end"))
+    place = F.concat_ws(":", "seq", "offset", length, digest)
+    return replica.select("segment", F.lit(0).alias("level"), F.col("seq").alias("node"), F.sha2(place.cast("binary"), 256).alias("hash"), "offset", (F.col("offset") + F.col(length)).alias("end"))
 
 
-def tree(replica: DataFrame, name: str, fanout: int = FANOUT) -> DataFrame:
-    """All nodes (segment, level, node, hash, offset, end), stored by level. A node's group has ``fanout`` children at most."""
-    levels = [stored(leaves(replica), f"{name}-0")]
-    most = replica.agg(F.max("seq")).first()[0] or 0
+def tree(leaf: DataFrame, name: str, fanout: int = FANOUT) -> DataFrame:
+    """All nodes (segment, level, node, hash, offset, end) over leaves, stored by level. A node's group has ``fanout`` children at most."""
+    levels = [stored(leaf, f"{name}-0")]
+    most = levels[0].agg(F.max("node")).first()[0] or 0
     while most:
         below = levels[-1]
         children = F.sort_array(F.collect_list(F.struct("node", "hash")))
@@ -80,20 +97,27 @@ def tree(replica: DataFrame, name: str, fanout: int = FANOUT) -> DataFrame:
     return out
 
 
+def top_level(nodes: DataFrame) -> int:
+    return nodes.agg(F.max("level")).first()[0] or 0
+
+
 def root(nodes: DataFrame) -> str:
-    """The replica's root, over the roots of its segments (a fixed number)."""
-    top = nodes.agg(F.max("level")).first()[0] or 0
-    found = nodes.filter(F.col("level") == top).agg(F.sort_array(F.collect_list(F.struct("segment", "node", "hash"))).alias("c"))
+    """The replica's root, over the roots of its segments (as many as ``segments_for`` says)."""
+    found = nodes.filter(F.col("level") == top_level(nodes)).agg(F.sort_array(F.collect_list(F.struct("segment", "node", "hash"))).alias("c"))
     return found.select(F.sha2(F.array_join("c.hash", ",").cast("binary"), 256)).first()[0]
 
 
 def audit(a: DataFrame, b: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """segment, seq and state (changed, missing_a, missing_b) of the records on which two trees differ.
 
-    Level by level from the top, only the children of differing nodes are compared; equal branches are
-    never read further than their top hash.
+    The replicas' roots come first: if they are equal, nothing else is compared. Level by level from the
+    segments' roots, only the children of differing nodes are compared; equal branches are never read further
+    than their top hash.
     """
-    top = max(t.agg(F.max("level")).first()[0] or 0 for t in (a, b))
+    empty = a.limit(0).select("segment", F.col("node").alias("seq"), F.lit("").alias("state"))
+    top = max(top_level(t) for t in (a, b))
+    if root(a) == root(b):
+        return empty
     suspects = None
     for level in range(top, -1, -1):
         pick = lambda t: t.filter(F.col("level") == level).select("segment", "node", "hash")  # noqa: E731, B023

@@ -59,12 +59,10 @@ TEXTS = [
 
 
 @pytest.mark.parametrize("most", [0, decontaminate.MOST_BROADCAST])
-def test_contamination(spark, monkeypatch, most):
+def test_contamination(spark, most):
     docs = spark.createDataFrame(TEXTS, "doc_id long, text string").withColumns({"gone": F.lit(1), "window": F.lit("w"), "at": F.lit(2)})
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
-    monkeypatch.setattr(decontaminate.contamination, "__defaults__", (13, most))
-    out = decontaminate.report(docs, bench).select("doc_id", "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ",").cast("binary"), 256), "contaminated")
+    out = decontaminate.report(docs, bench, most=most).select("doc_id", "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ",").cast("binary"), 256), "contaminated")
     items = {"" if i is None else i: t for i, t in ITEMS}
     want = [(d, *cases.brute_contamination(t, items)) for d, t in TEXTS]
     assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(want, key=str)

@@ -1,13 +1,15 @@
 """Quality rules as weak supervision, with DataFrame functions alone.
 
-Six rules on a document's words and lines each vote good (1), bad (-1) or abstain (0). The numbers of
-documents by vote pattern (3^6 rows at most, whatever the input) go to the driver, where
+Nine rules on a document's words and lines each vote good (1), bad (-1) or abstain (0). They overlap: what
+is bad in one way is seen by two or more of them, so how far a rule can be trusted shows in how often others agree.
+The numbers of documents by vote pattern (3^9 rows at most, whatever the input) go to the driver, where
 expectation-maximisation estimates for each rule how often it votes good on good documents and bad on bad
 ones. A document's quality is the posterior probability of good given its votes; that replaces the demand
-that all rules pass. The fixed base conditions stand before it.
+that all rules pass: one bad vote of a rule that often votes so alone doesn't condemn a document. The fixed
+base conditions stand before it.
 
-Defined cases: a null text has no words and fails the base; repeated rows each get their own equal result;
-an empty table gives an empty result; columns other than the text don't matter and are kept as they are.
+Defined cases: a null or empty text has no words and fails the base; very long texts are looked through whole; repeated rows each
+get their own equal result; an empty table gives an empty result; columns other than the text don't matter and are kept as they are.
 Three-word windows are compared by 64-bit hashes within one document.
 """
 
@@ -30,7 +32,7 @@ def _without(text: Column, pattern: str) -> Column:
 
 
 def with_features(docs: DataFrame, column: str = "text") -> DataFrame:
-    """For the texts in a column adds _q_n_words, _q_word_chars, _q_n_symbols, _q_n_dup_lines, _q_n_repeat_words, _q_n_lines, _q_n_upper and _q_n_bangs."""
+    """For the texts in a column adds _q_n_words, _q_word_chars, _q_n_symbols, _q_n_dup_lines, _q_n_repeat_words, _q_n_lines, _q_n_distinct, _q_n_upper, _q_n_bangs and _q_n_marks."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))
     c = lambda name: F.col(P + name)
     df = docs.withColumns({
@@ -39,12 +41,14 @@ def with_features(docs: DataFrame, column: str = "text") -> DataFrame:
         P + "n_symbols": _without(text, r"[#*$%&|<>]+").cast("long"),
         P + "n_upper": _without(text, "[A-Z]+"),
         P + "n_bangs": _without(text, "!+"),
+        P + "n_marks": _without(text, r"[^\p{L}\p{N}\x20\x09-\x0D]+"),
     })
     n = F.size(c("words"))
     df = df.withColumns({
         P + "n_words": n.cast("long"),
         P + "word_chars": F.length(F.array_join(c("words"), "")).cast("long"),
         P + "n_lines": F.size(c("lines")),
+        P + "n_distinct": F.size(F.array_distinct(c("words"))),
         P + "n_dup_lines": (F.size(c("lines")) - F.size(F.array_distinct(c("lines")))).cast("long"),
         P + "grams": F.transform(F.slice(c("words"), F.lit(1), F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(c("words"), i + 1), F.get(c("words"), i + 2))),
     }).drop(P + "words", P + "lines")
@@ -71,15 +75,22 @@ def votes() -> dict[str, Column]:
     c = lambda name: F.col(P + name)
     words, chars = F.nullif(c("n_words"), F.lit(0)), F.nullif(c("word_chars"), F.lit(0))
     return {
-        "word_length": F.when((chars / words).between(3, 10), 1).when((chars / words < 2) | (chars / words > 14), -1).otherwise(0),
+        "word_length": F.when((chars / words).between(3, 10), 1).when((chars / words < 2.5) | (chars / words > 12), -1).otherwise(0),
         "symbols": _vote(c("n_symbols") / words, 0.02, 0.1),
-        "repeated_words": _vote(c("n_repeat_words") / words, 0.1, 0.3),
-        "repeated_lines": _vote(c("n_dup_lines") / F.nullif(c("n_lines"), F.lit(0)), 0.1, 0.4),
-        "capitals": _vote(c("n_upper") / chars, 0.2, 0.45),
-        "exclamations": _vote(c("n_bangs") / words, 0.03, 0.2),
+        "marks": _vote(c("n_marks") / chars, 0.06, 0.1),
+        "repeated_words": _vote(c("n_repeat_words") / words, 0.1, 0.2),
+        "few_words": _vote(1 - c("n_distinct") / words, 0.5, 0.7),
+        "repeated_lines": _vote(c("n_dup_lines") / F.nullif(c("n_lines"), F.lit(0)), 0.1, 0.3),
+        "short_lines": _vote(c("n_lines") / words, 0.1, 0.25),
+        "capitals": _vote(c("n_upper") / chars, 0.2, 0.4),
+        "exclamations": _vote(c("n_bangs") / words, 0.03, 0.15),
     }
 
 
+#: How many rules there are.
+RULES = 9
+
+
 def vote_pattern() -> Column:
     """All votes as one number in base 3."""
     out = F.lit(0)
@@ -104,14 +115,19 @@ class Model:
         return 1 / (1 + exp(-max(-500.0, min(500.0, odds))))
 
 
-def fit(counts: dict[int, int], rules: int = 6, rounds: int = 40) -> Model:
+#: Where the estimate starts, and the made-up documents that stand behind it (few: they keep shares off 0 and 1).
+START, MADE_UP = Model(0.9, (0.95,) * RULES, (0.4,) * RULES), 2.0
+
+
+def fit(counts: dict[int, int], rules: int = RULES, rounds: int = 100, start: Model | None = None) -> Model:
     """Expectation-maximisation over the numbers of documents by vote pattern.
 
-    Rules are made to spare good documents, and a bad document is mostly bad in one way. So a rule is held
-    right on at least 99 % of the good documents on which it votes, and to find at most half of the bad
-    ones; without that, the kind of bad documents that sets off most rules would become the whole class.
+    No share is held within bounds. ``MADE_UP`` documents with the shares of the start are added to what is counted
+    for each; those that abstain say nothing about a rule. If in the end the class called good is the one that has more
+    bad votes, the names are exchanged.
     """
-    model = Model(0.9, (0.995,) * rules, (0.3,) * rules)
+    model = start or Model(START.prior, START.good[:1] * rules, START.bad[:1] * rules)
+    first = model
     voted = {p: [p // 3 ** (rules - 1 - j) % 3 for j in range(rules)] for p in counts}
     total = sum(counts.values())
     for _ in range(rounds if total else 0):
@@ -119,20 +135,21 @@ def fit(counts: dict[int, int], rules: int = 6, rounds: int = 40) -> Model:
         kept = sum(n * q[p] for p, n in counts.items())
         good, bad = [], []
         for j in range(rules):
-            cell = {(cls, v): 1.0 for cls in (0, 1) for v in (0, 2)}  # one made-up vote each, so that no share is 0 or 1
+            cell = {(1, 2): MADE_UP * first.good[j], (1, 0): MADE_UP * (1 - first.good[j]), (0, 0): MADE_UP * first.bad[j], (0, 2): MADE_UP * (1 - first.bad[j])}
             for p, n in counts.items():
                 if (v := voted[p][j]) != 1:
                     cell[1, v] += n * q[p]
                     cell[0, v] += n * (1 - q[p])
-            g = max(0.99, min(0.9999, cell[1, 2] / (cell[1, 2] + cell[1, 0])))
-            good.append(g)
-            bad.append(max(2 * (1 - g), min(0.5, cell[0, 0] / (cell[0, 2] + cell[0, 0]))))
-        model = Model(min(0.99, max(0.5, kept / total)), tuple(good), tuple(bad))
+            good.append(cell[1, 2] / (cell[1, 2] + cell[1, 0]))
+            bad.append(cell[0, 0] / (cell[0, 2] + cell[0, 0]))
+        model = Model((kept + MADE_UP * first.prior) / (total + MADE_UP), tuple(good), tuple(bad))
+    if sum(model.good) + sum(model.bad) < rules:
+        model = Model(1 - model.prior, tuple(1 - b for b in model.bad), tuple(1 - g for g in model.good))
     return model
 
 
 def pattern_counts(featured: DataFrame) -> dict[int, int]:
-    """Documents that pass the base by vote pattern: at most 3^6 rows, a bound that doesn't depend on the input."""
+    """Documents that pass the base by vote pattern: at most 3^9 rows, a bound that doesn't depend on the input."""
     return {r["p"]: r["n"] for r in featured.filter(~base_failed()).groupBy(vote_pattern().alias("p")).agg(F.count("*").alias("n")).collect()}
 
 

@@ -98,7 +98,7 @@ def test_rows_that_share_an_id(spark, monkeypatch, hot, key):
 def test_words_in_slices(monkeypatch):
     text = " ".join(f"w{i % 91} ñ{i}" for i in range(3000)).encode()
     whole = substring.Words([(1, 2), (1, 3)], [text, b" a\t b\n"])
-    monkeypatch.setattr(substring, "STRETCH", 100)
+    monkeypatch.setattr(substring, "SLICE", 100)
     cut = substring.Words([(1, 2), (1, 3)], [text, b" a\t b\n"])
     assert (cut.hashes == whole.hashes).all() and (cut.start == whole.start).all() and (cut.end == whole.end).all()
     assert cut.n.tolist() == whole.n.tolist() == [6000, 2]

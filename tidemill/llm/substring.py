@@ -29,8 +29,8 @@ from tidemill.llm.common import key_back, keyed_texts
 from tidemill.llm.sketch import SCHEMA, Estimate, TaskSketch, bits_for
 
 WINDOW, RUN = 20, 6
-#: Bytes of text looked at together, and bytes of all texts that one bucket stands for.
-STRETCH, BUCKET = 2_000_000, 8 << 20
+#: Bytes of text looked at together, bytes whose words are hashed together, and bytes of all texts that one bucket stands for.
+STRETCH, SLICE, BUCKET = 1_000_000, 1 << 18, 8 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -40,7 +40,7 @@ def slices(text: bytes) -> Iterator[tuple[int, int]]:
     """A text's slices, which end before white space."""
     at = 0
     while at < len(text):
-        end = _SPACE.search(text, at + STRETCH)
+        end = _SPACE.search(text, at + SLICE)
         to = end.start() if end else len(text)
         yield at, to
         at = to

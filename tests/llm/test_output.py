@@ -25,7 +25,8 @@ def test_tokens_like_library():
     rng = random.Random(1)
     alphabet = "aAzZéÉßñ'0 9.,<|>\t\n\x1c\xa0́ΣİſK½日🙂"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(5000)]
-    texts += ["", "don't DON'T 'S ''s x'll", "<|endoftext|> a<|endoftext|>b <|x", "ΑΣ Σας", "ẞß Ÿÿ", "a\x00b"]
+    texts += ["".join(rng.choice("aAéÉ'sStTrReEvVlLmMdD 0!") for _ in range(rng.randint(0, 30))) for _ in range(5000)]
+    texts += ["w" * n for n in range(20, 40)] + ["", "don't DON'T 'S ''s x'll", "<|endoftext|> a<|endoftext|>b <|x", "ΑΣ Σας", "ẞß Ÿÿ", "a\x00b"]
     for got, want in zip(tokens.words(PATH).encode(texts), library(texts), strict=True):
         assert got == want[:-1].tobytes()
 
@@ -35,6 +36,10 @@ def test_tokens_long_text_and_small_cache(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 20)
     text = " ".join(f"Word{i % 37}, ñandú" for i in range(400))
     assert next(tokens.Words(PATH).encode([text])) == library([text])[0][:-1].tobytes()
+    few = tokens.Words(PATH)
+    for i in range(0, 400, 3):  # the table is emptied again and again
+        own = f"x{i} ñandú y{i}z w{i % 7}"
+        assert next(few.encode([own])) == library([own])[0][:-1].tobytes() and few.table.n <= 20
 
 
 @given(st.lists(st.integers(0, 999), max_size=700))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.config import sender
 from tidemill.functions.logs import log_line, shown_level
 from tidemill.functions.text import version_of
-from tidemill.operators import logs, notify, status
+from tidemill.operators import driver_log, logs, notify, status
 from tidemill.sources.tables import whole_texts
 
 
@@ -90,6 +90,51 @@ def test_view(spark):
     assert [tuple(r)[2:] for r in got] == [("status-dot idle", "idle", False, "v0.1"), ("status-dot working", "working", True, "v0.1"), ("status-dot idle", "idle", False, None), ("status-dot", "unreachable", False, None)]
 
 
+@pytest.mark.parametrize(("body", "want"), [
+    ('{"version": "0.1", "status": "idle"}', ("status-dot idle", "idle", False, "v0.1")), ('{"status": "working", "more": [1]}', ("status-dot working", "working", True, None)),
+    *((x, ("status-dot", "unreachable", False, None)) for x in (None, "", "<html>", '{"version": "0.1"', '{"version": "0.1"}', "[]", "7", "null")),
+])
+def test_view_of_raw_body(spark, body, want):
+    df = spark.createDataFrame([(body,)], "b string").select(status.parsed(F.col("b")).alias("response"))
+    assert tuple(status.view_state(df).first())[1:] == want
+
+
+def test_repeated_overrides(spark):
+    df = spark.createDataFrame([("a.b", 20), ("a.b", 40), ("c", 10)], "logger string, levelno int")
+    own = spark.createDataFrame([("a", 30), ("a", 40), ("a", 20), (None, 50), ("c", None)], "logger string, level int")
+    assert [tuple(r) for r in logs.filter_levels_by(df, own, "DEBUG").collect()] == [("a.b", 40), ("c", 10)]
+
+
+def test_driver_log_rotates(tmp_path, capsys):
+    import logging
+
+    top = logging.getLogger()
+    before, level = [*top.handlers], top.level
+    top.handlers = []
+    try:
+        path = tmp_path / "latest.log"
+        driver_log.configure("nonsense", str(path), 300, 2, {"quiet": "ERROR"})
+        driver_log.configure("debug", str(path), 300, 2, {"quiet": "ERROR"})  # once more: no line is doubled
+        logging.getLogger("quiet.x").warning("dropped")
+        for i in range(12):
+            logging.getLogger("x").info("line %d", i)
+        try:
+            raise ValueError("boom")
+        except ValueError:
+            logging.getLogger("x").exception("failed")
+        shown = capsys.readouterr().out
+        assert shown.count("line 7") == 1 and "dropped" not in shown and "ValueError: boom" in shown and " | Info     | test_cases.py:" in shown
+        assert sorted(p.name for p in tmp_path.iterdir()) == ["latest.log", "latest.log.1", "latest.log.2"]
+        driver_log.configure("INFO", "")
+        assert [type(h).__name__ for h in top.handlers] == ["StreamHandler"] and top.level == 20
+    finally:
+        for h in [*top.handlers]:
+            top.removeHandler(h)
+            h.close()
+        top.handlers, top.level = before, level
+        logging.getLogger("quiet").setLevel(0)
+
+
 def test_stream(spark, sf_dir, tmp_path):
     from tidemill.plans.queries import records
     from tidemill.streaming.logs import log_lines

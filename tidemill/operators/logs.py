@@ -35,12 +35,13 @@ def filter_levels_by(records: DataFrame, overrides: DataFrame, root: str = "DEBU
     """As ``filter_levels``, for overrides in a table (logger, level int) of any size.
 
     Each distinct logger name is expanded to its dotted prefixes, which join by equality; the longest
-    that has an override wins. The names, not the records, go through the prefix join.
+    that has an override wins. The names, not the records, go through the prefix join. Of several overrides
+    for one logger the highest level holds; a null logger or level overrides nothing.
     """
     names = records.select(F.coalesce("logger", F.lit("")).alias("_name")).distinct()
     parts = F.split("_name", r"\.")
     prefixes = names.select("_name", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).alias("_prefix"))
-    own = overrides.filter(F.col("level") != 0).select(F.col("logger").alias("_prefix"), F.col("level").alias("_level"))
+    own = overrides.filter(F.col("level") != 0).groupBy(F.col("logger").alias("_prefix")).agg(F.max("level").alias("_level"))
     found = prefixes.join(own, "_prefix").groupBy("_name").agg(F.max_by("_level", F.length("_prefix")).alias("_level"))
     kept = records.withColumn("_name", F.coalesce("logger", F.lit(""))).join(found, "_name", "left")
     return kept.filter(F.col("levelno") >= F.coalesce("_level", F.lit(level_number(root, 10)))).drop("_name", "_level")

@@ -12,6 +12,12 @@ def status_of(version: Column) -> Column:
     return F.struct(version.alias("version"), F.lit(IDLE).alias("status"))
 
 
+def parsed(body: Column) -> Column:
+    """The response object of a raw body. What isn't JSON, or no object with a status, gives null, as a failed request does."""
+    found = F.from_json(body, "version string, status string")
+    return F.when(found["status"].isNotNull(), found)
+
+
 def view_state(responses: DataFrame, response: str = "response") -> DataFrame:
     """Adds dot_class, label, working and badge for a response object with version and status.
 

@@ -72,16 +72,17 @@ def version_extract(spark, sf_dir):
 
 
 def status_row(spark, sf_dir):
-    """The status object of every nation's node as JSON, its version made of the nation's keys."""
-    v = F.concat(F.col("n_regionkey").cast("string"), F.lit("."), F.col("n_nationkey").cast("string"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", v.alias("version")).select("n_nationkey", status.status_of(F.col("version")).alias("s")).select("n_nationkey", "s.version", "s.status", F.to_json("s").alias("body"))
+    """The status object of every customer's node as JSON, its version made of the customer's keys."""
+    v = F.concat(F.col("c_nationkey").cast("string"), F.lit("."), F.col("c_custkey").cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", v.alias("version")).select("c_custkey", status.status_of(F.col("version")).alias("s")).select("c_custkey", "s.version", "s.status", F.to_json("s").alias("body"))
 
 
 def status_view(spark, sf_dir):
-    """View state of the response in every event: a third failed, the others idle, working, or without version."""
+    """View state of the raw response body in every event: a third is cut short or missing, the others are idle, working, or without version."""
     i = F.col("event_id")
-    body = F.when(i % 3 != 0, F.struct(F.when(i % 5 == 0, "").otherwise((i % 9).cast("string")).alias("version"), F.when(i % 2 == 0, status.WORKING).otherwise(status.IDLE).alias("status")))
-    return status.view_state(table(spark, sf_dir, "events").select("event_id", body.alias("response"))).drop("response")
+    whole = F.to_json(F.struct(F.when(i % 5 == 0, "").otherwise((i % 9).cast("string")).alias("version"), F.when(i % 2 == 0, status.WORKING).otherwise(status.IDLE).alias("status")))
+    body = F.when(i % 3 != 0, whole).when(i % 2 == 0, F.substring(whole, 1, 9))
+    return status.view_state(table(spark, sf_dir, "events").select("event_id", status.parsed(body).alias("response"))).drop("response")
 
 
 def configs(spark, sf_dir):
@@ -140,8 +141,8 @@ ORACLE_SQL = {
     "version_extract": """SELECT page_id, CASE WHEN v = '' OR v IS NULL THEN 'unknown' ELSE v END AS version FROM (
       SELECT page_id, regexp_extract(html || CASE page_id % 3 WHEN 0 THEN ' img.shields.io/badge/version-' || (page_id % 7) || '.' || (page_id % 10) || CASE WHEN page_id % 2 = 0 THEN '--rc1' ELSE '' END || '-blue'
         WHEN 1 THEN ' img.shields.io/badge/version--blue' ELSE '' END, 'img\\.shields\\.io/badge/version-([^-]+)-', 1) AS v FROM pages)""",
-    "status_row": """SELECT n_nationkey, n_regionkey || '.' || n_nationkey AS version, 'idle' AS status,
-      '{"version":"' || n_regionkey || '.' || n_nationkey || '","status":"idle"}' AS body FROM nation""",
+    "status_row": """SELECT c_custkey, c_nationkey || '.' || c_custkey AS version, 'idle' AS status,
+      '{"version":"' || c_nationkey || '.' || c_custkey || '","status":"idle"}' AS body FROM customer""",
     "status_view": """SELECT event_id, CASE WHEN s IS NULL THEN 'status-dot' ELSE 'status-dot ' || s END AS dot_class, coalesce(s, 'unreachable') AS label, coalesce(s = 'working', false) AS working,
       CASE WHEN s IS NOT NULL AND event_id % 5 <> 0 THEN 'v' || (event_id % 9) END AS badge
       FROM (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN CASE WHEN event_id % 2 = 0 THEN 'working' ELSE 'idle' END END AS s FROM events)""",

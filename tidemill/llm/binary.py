@@ -5,7 +5,7 @@ holding more than one block of ids. A block holds whole documents, about ``block
 makes a larger block), and is coded by itself; see ``rangecoder``. The blocks are rows of a Spark table, so
 they can lie in any store.
 
-Defined cases: a null or empty text is the end id alone; rows that repeat a doc_id are written one after the
+Defined cases: a null or empty text is the end id alone; a very long text makes one large block; rows that repeat a doc_id are written one after the
 other, ordered by a hash of the text; an empty table gives no blocks; further columns are left alone. A
 damaged block raises an error.
 """

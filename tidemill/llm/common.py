@@ -1,5 +1,6 @@
 """What the operators share: the folder that all executors see, stored tables, and rows keyed by document."""
 
+import re
 import tempfile
 import uuid
 
@@ -10,35 +11,60 @@ from pyspark.sql import functions as F
 NO_ID = -(2**63)
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir. Only where that is unset (tests) a new local one is set."""
+    """The cluster's shared folder: spark.checkpoint.dir. Where that is unset, a session on this machine alone (as in
+    tests) gets a folder of its own, and any other is refused: no folder of one machine serves a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir isn't set: name a folder that the driver and all executors share")
+    if not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return _local[0]
 
 
 _paths: list[str] = []
 
 
-def clear_stored(spark: SparkSession) -> int:
-    """Deletes the tables that this process has stored so far, once no result that reads them is needed any more."""
+def clear_stored(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> int:
+    """Deletes the tables that this process has stored, once no result that reads them is needed any more.
+
+    since: how many (see ``stored_so_far``) were there before and stay; but: a stored table that stays too.
+    """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = [p for p in _paths[since:] if p != getattr(but, "stored_path", None)]
     n = 0
-    while _paths:
-        path = jvm.org.apache.hadoop.fs.Path(_paths.pop())
+    for p in gone:
+        _paths.remove(p)
+        path = jvm.org.apache.hadoop.fs.Path(p)
         n += path.getFileSystem(conf).delete(path, True)
     return n
 
 
+def stored_so_far() -> int:
+    return len(_paths)
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Deletes one stored table, which nothing reads any more."""
+    at = _paths.index(df.stored_path)
+    _paths[at:] = [*_paths[at + 1 :], df.stored_path]
+    clear_stored(df.sparkSession, len(_paths) - 1)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows to a new table in the shared folder and reads them from there: lineage ends here, and
     a lost executor costs no more than its own tasks. Like checkpoints, the tables stay until ``clear_stored`` or the cluster clears them."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _paths.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
 
 
 def doc_key(column: str = "doc_id") -> Column:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.anchors import groups, mixed, spread
-from tidemill.llm.common import doc_key, key_back, keyed_texts, stored, text_key
+from tidemill.llm.common import doc_key, drop_stored, key_back, keyed_texts, stored, text_key
 from tidemill.llm.graph import components
 from tidemill.llm.substring import slices, word_stretches
 
@@ -243,6 +243,7 @@ def _classified(docs: DataFrame) -> DataFrame:
     edges = met.select("bucket", "key", (F.col("one") * 100_000 + F.col("two")).alias("part"), "rep", "low").groupBy("bucket").applyInArrow(_band_edges, "a long, b long")
 
     nodes = _members(components(edges)).toDF("rep", "comp")
+    drop_stored(banded)
     nodes = stored(nodes.join(classes.select("rep", "doc_id", "sub", "low", "bytes"), "rep"), "nodes")
     sizes = nodes.groupBy("comp").agg(F.count("*").alias("size"), F.sum("bytes").alias("size_bytes"))
     parts = max(4 * tasks, (nodes.agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES)

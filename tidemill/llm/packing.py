@@ -8,7 +8,7 @@ pattern is used as often as its counts allow, which uses up some length, so ther
 most, whatever the number of documents. Pieces find their place from their rank among the pieces of their
 length: the rank within a task, plus the number in the tasks before.
 
-Defined cases: a null or empty text is one piece of the end id alone; repeated rows are packed one by one; an
+Defined cases: a null or empty text is one piece of the end id alone; a very long text is encoded whole and cut at multiples of the window; repeated rows are packed one by one; an
 empty table gives no pieces; further columns are left alone.
 """
 

@@ -62,7 +62,8 @@ def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 16 and slot; counts are at most one apart."""
     text = F.coalesce("text", F.lit(""))
     rows = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"))
-    out = shard.assign(rows, F.coalesce("doc_id", "text_crc32"))
+    # Rows without an id, and those that share one, fall in different cells by their texts.
+    out = shard.assign(rows, F.struct("doc_id", "text_crc32"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import stored
+from tidemill.llm.common import drop_stored, stored
 
 #: At most so many distinct labelled credentials of each kind, of so many characters at most, train the automata.
 SAMPLE, LONGEST = 20_000, 4096
@@ -316,7 +316,10 @@ def fit(found: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    return fit(label(docs), sample)
+    found = label(docs)
+    out = fit(found, sample)
+    drop_stored(found)
+    return out
 
 
 def added_spans(group: list[tuple[str, list[Span], list[str]]], model: Model) -> list[list[Span]]:

@@ -9,7 +9,8 @@ alone, so the largest sort is of one 65,536th of the rows.
 With bounds that differ by one row at most (``slack`` 0) the shards' counts do so too. With a slack of e,
 the bound is (1 + e) times the mean, and adding a shard moves few rows beside those that it takes.
 
-Defined cases: rows with a null doc_id are placed by their text; repeated rows are placed one by one; an
+Defined cases: rows with a null key have a cell of their own; null, empty and very long texts are only measured (the query's key is
+the doc_id with its text's checksum, so rows that lack or share an id spread); repeated rows are placed one by one; an
 empty table gives no rows; further columns are left alone.
 """
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.anchors import Rolling, byte_values, groups, ranges, smallest, spread
-from tidemill.llm.common import key_back, keyed_texts, stored
+from tidemill.llm.common import drop_stored, key_back, keyed_texts, stored
 from tidemill.llm.sketch import SCHEMA, Estimate, TaskSketch, bits_for
 
 WINDOW, LEAD = 400, 32
@@ -266,6 +266,7 @@ def marks(docs: DataFrame, window: int = WINDOW, lead: int = LEAD) -> DataFrame:
     first = stored(rows.mapInArrow(_first_pass(bits, max(1, int(expected / SAMPLE)), window, lead), SCHEMA), "suffix-sketch")
     estimate = spark.sparkContext.broadcast(Estimate(first.filter("shard >= 0"), bits))
     sampled = b"".join(bytes(r["cells"]) for r in first.filter("shard < 0").select("cells").collect())  # some SAMPLE times 32 bytes
+    drop_stored(first)
     sample = np.sort(np.frombuffer(sampled, f"S{lead}"))
     splitters = np.unique(sample[np.arange(1, buckets) * len(sample) // buckets]) if len(sample) else sample
     sent = rows.mapInArrow(_send(estimate, splitters, buckets, window, lead), _SENT)

@@ -1,14 +1,16 @@
 """A training corpus from ``documents``: quality, near duplicates, decontamination, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all documents that the one before it kept, and returns a
-DataFrame that is written as Parquet and read again. All but the last return the columns of documents.
+DataFrame that is written as Parquet and read again. All but the last return the columns of documents. Null, empty
+and very long texts, repeated rows, null ids, further columns and empty tables have the results that the operators'
+docstrings state; a null or empty text fails the quality base, so it goes in the first stage.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import decontaminate, ngram_join, packing, quality, secrets
-from tidemill.llm.common import stored
+from tidemill.llm.common import clear_stored, stored, stored_so_far
 from tidemill.llm.registry import tokenizer_path
 
 
@@ -44,9 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; what a stage has stored for itself, and the rows of the one before it, go when its own rows are written."""
+    docs, begun = spark.read.parquet(f"{sf_dir}/documents.parquet"), stored_so_far()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        clear_stored(spark, begun, but=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -70,3 +70,11 @@ def test_tokens(docs, long_text):
     assert (np.frombuffer(back[0], "<u4") == want).all()
     pieces = packing.pack(docs[0], path).filter("doc_id = 0").groupBy().sum("length").first()[0]
     assert pieces == len(want)
+
+
+def test_shards(spark, docs, long_text, tmp_path):
+    import zlib
+
+    docs[0].write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in registry.op8_ring_shards(spark, str(tmp_path)).collect()}
+    assert got[0] == (len(long_text) + 1, zlib.crc32(long_text.encode())) and len(got) == 4

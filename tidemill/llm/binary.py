@@ -26,6 +26,8 @@ from tidemill.llm.tokens import END, words
 
 VOCABULARY = 49408
 BLOCK = 1 << 21
+#: A broadcast of so many parts takes some 50 MB at most.
+MOST_BROADCAST = 1_000_000
 _BLOCKS = "part int, block int, before long, n_tokens long, payload binary"
 _DOCS = "part int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
@@ -85,9 +87,10 @@ def _read(vocabulary: int, with_ids: bool):
 def read_ids(blocks: DataFrame, vocabulary: int = VOCABULARY, with_ids: bool = True) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, unless they aren't wanted, the ids
     (unsigned 32-bit, little-endian) of each document, all decoded from the blocks."""
-    # A row per part: their number is the number of partitions that wrote them, some 100,000 at most, so it's broadcast.
+    # A row per part: there are as many as partitions that wrote them, which is counted before they are broadcast.
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
     parts = parts.select("part", base.alias("base"))
-    out = blocks.select("part", "before", "payload").mapInArrow(_read(vocabulary, with_ids), _DOCS + ", ids binary" * with_ids).join(F.broadcast(parts), "part")
+    parts = F.broadcast(parts) if blocks.select("part").distinct().limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else parts
+    out = blocks.select("part", "before", "payload").mapInArrow(_read(vocabulary, with_ids), _DOCS + ", ids binary" * with_ids).join(parts, "part")
     return out.select(key_back(F.col("doc_id")).alias("doc_id"), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)

@@ -13,8 +13,9 @@ are compared, not hashes. Equal leading bytes never lie on both sides of a split
 suffixes to compare.
 
 Ranges whose bytes are equal within some megabytes of text are settled there and sent once. Anchors that occur over
-20,000 times in all would fill a bucket: their windows are sent one by one, dealt and compared by a 128-bit
-cryptographic digest (BLAKE2b) of their bytes.
+20,000 times in all would fill a bucket: their windows are sent one by one, compared by a 128-bit
+cryptographic digest (BLAKE2b) of their bytes, and dealt by it and one of ``SALTS`` numbers of the stretch; one of each
+digest in such a group meets those of the others once more.
 
 Defined cases: null and empty texts have nothing to remove; each row is a document of its own when strings are compared, and what is
 removed is kept by doc_id and text, so that rows that repeat or lack a doc_id keep what is theirs alone; an empty table gives no rows; long texts are cut into overlapping
@@ -27,16 +28,19 @@ from hashlib import blake2b
 import numpy as np
 from numpy.lib.stride_tricks import sliding_window_view
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.anchors import Rolling, byte_values, groups, ranges, smallest, spread
+from tidemill.llm.anchors import Rolling, byte_values, groups, mixed, ranges, smallest, spread
 from tidemill.llm.common import drop_stored, key_back, keyed_texts, stored
 from tidemill.llm.sketch import SCHEMA, Estimate, TaskSketch, bits_for
 
 WINDOW, LEAD = 400, 32
 #: Window starts looked at together, bytes of all texts that one bucket stands for, and leading bytes sampled.
 STRETCH, BUCKET, SAMPLE = 1 << 19, 6 << 20, 50_000
+#: Groups over which the windows with one very common digest are dealt, by stretch.
+SALTS = 4096
 _MARKS = "doc_id long, sub long, start long, stop long"
 
 
@@ -115,6 +119,7 @@ def _equal_before(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _send(estimate, splitters: np.ndarray, buckets: int, window: int, lead: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         for turn, s in enumerate(_stretches(batches, window, lead)):
             rows: dict[int, dict[str, np.ndarray]] = {}
             keep = np.flatnonzero(estimate.value.repeated(s.gram))
@@ -144,7 +149,7 @@ def _send(estimate, splitters: np.ndarray, buckets: int, window: int, lead: int)
                 t = t[np.lexsort((at[t], *doc[t].T[::-1]))]
                 marks += _intervals(doc[t], at[t], window)
                 i = order[~again]
-                bucket = (a[i] % np.uint64(buckets)).astype(np.int64)
+                bucket = (mixed(a[i] + np.uint64((part + turn) % SALTS)) % np.uint64(buckets)).astype(np.int64)
                 sort = np.argsort(bucket, kind="stable")
                 for lo, hi in groups(bucket[sort]):
                     j = i[sort[lo:hi]]
@@ -252,11 +257,23 @@ def _compare(window: int, lead: int):
         if found := _intervals(doc[s], at[s], window):
             marks.append(tuple(np.array(found, np.int64).T))
         cols = [np.concatenate(c) for c in zip(*marks, strict=True)]
-        return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("doc_id", "sub", "start", "stop"), cols, strict=True)})
+        # One window of each digest goes on, to meet those of the other groups.
+        _, one = np.unique(np.stack((got["w_a"], got["w_b"])), axis=1, return_index=True) if len(got["w_a"]) else (0, np.zeros(0, np.int64))
+        on = [*got["w_doc"][one].T, got["w_at"][one], got["w_at"][one] + window, got["w_a"][one].view(np.int64), got["w_b"][one].view(np.int64)]
+        names = ("doc_id", "sub", "start", "stop", "a", "b")
+        out = {k: pa.array(np.concatenate((c, x)), pa.int64()) for k, c, x in zip(names, cols, on, strict=False)}
+        out |= {k: pa.concat_arrays([pa.nulls(len(cols[0]), pa.int64()), pa.array(x, pa.int64())]) for k, x in zip(names[4:], on[4:], strict=True)}
+        return pa.table(out)
 
     return go
 
 
+def _compare_firsts(table: pa.Table) -> pa.Table:
+    """The windows whose digest is there more than once."""
+    order, _, twin = _equal_before(table.column("b").to_numpy(), table.column("a").to_numpy())
+    return table.take(pa.array(np.sort(order[twin]))).select(["doc_id", "sub", "start", "stop"])
+
+
 def marks(docs: DataFrame, window: int = WINDOW, lead: int = LEAD) -> DataFrame:
     """doc_id, sub, start, stop: byte ranges covered by repeated strings, which may overlap."""
     spark, rows = docs.sparkSession, keyed_texts(docs)
@@ -270,7 +287,9 @@ def marks(docs: DataFrame, window: int = WINDOW, lead: int = LEAD) -> DataFrame:
     sample = np.sort(np.frombuffer(sampled, f"S{lead}"))
     splitters = np.unique(sample[np.arange(1, buckets) * len(sample) // buckets]) if len(sample) else sample
     sent = rows.mapInArrow(_send(estimate, splitters, buckets, window, lead), _SENT)
-    return sent.groupBy("bucket").applyInArrow(_compare(window, lead), _MARKS)
+    found = stored(sent.groupBy("bucket").applyInArrow(_compare(window, lead), f"{_MARKS}, a long, b long"), "suffix-compared")
+    firsts = found.filter("a is not null").withColumn("bucket", F.pmod("a", F.lit(buckets)))
+    return found.filter("a is null").drop("a", "b").unionByName(firsts.groupBy("bucket").applyInArrow(_compare_firsts, _MARKS))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -91,6 +91,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_join, op3_secrets, op4_warc_fixity, op5_decontaminate, op6_quality, op7_token_ids, op8_ring_shards, op9_substring_dedup, op10_packing)}
 
+#: Bytes as hex digits, cut into parts of 500 window starts, as taking a substring of a long text counts its characters.
+_OP1 = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+part AS (SELECT r, n, first, substr(h, 2 * first + 1, 2 * 899) AS p FROM (SELECT r, n, h, unnest(generate_series(0, n - 400, 500)) AS first FROM d WHERE n >= 400)),
+w AS (SELECT r, first + j AS i, md5(substr(p, 2 * j + 1, 800)) AS k FROM (SELECT r, first, p, unnest(generate_series(0, least(499, n - 400 - first))) AS j FROM part)),
+again AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM w SEMI JOIN again USING (k)),
+span AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM hit) GROUP BY r, g),
+cut AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS start, a AS stop FROM span
+  UNION ALL SELECT r, coalesce(max(b), 0), any_value(n) FROM d LEFT JOIN span USING (r) GROUP BY r),
+kept AS (SELECT r, string_agg(substr(h, 2 * start + 1, 2 * (stop - start)), '' ORDER BY start) AS h FROM cut JOIN d USING (r) GROUP BY r),
+total AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM span GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256 FROM d JOIN kept USING (r) LEFT JOIN total USING (r)"""
+
 _OP5 = r"""WITH split AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 items AS (
@@ -141,4 +154,4 @@ SELECT page_id, segment, seq, start AS "offset", length, sha256(seq || ':' || st
   CASE WHEN ('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8))::BIGINT % 1000 = 7 THEN 'changed' ELSE 'equal' END AS state FROM p"""
 _OP4 = _OP4.replace("~", "' || chr(13) || chr(10) || '")
 
-ORACLES = {"op4_warc_fixity": _OP4, "op2_ngram_join": _OP2, "op9_substring_dedup": _OP9, "op5_decontaminate": _OP5}
+ORACLES = {"op1_suffix_dedup": _OP1, "op4_warc_fixity": _OP4, "op2_ngram_join": _OP2, "op9_substring_dedup": _OP9, "op5_decontaminate": _OP5}

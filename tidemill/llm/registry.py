@@ -8,10 +8,11 @@ from tidemill.llm.common import documents, key_back, stored
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the bytes of strings of 400 bytes that also start elsewhere."""
+    """All documents without the bytes of strings of 400 bytes that also start elsewhere; covered is the share of bytes removed."""
     out = suffix.remove_repeats(documents(spark, sf_dir))
     # What was removed stands first, as it is what the query is about; the text's length says nothing of it.
-    return out.select("doc_id", "n_removed", "n_spans", "n_bytes", F.sha2("kept", 256).alias("kept_sha256"))
+    covered = F.coalesce(F.col("n_removed") / F.nullif(F.col("n_bytes"), F.lit(0)), F.lit(0.0))
+    return out.select("doc_id", "n_removed", "n_spans", "n_bytes", F.sha2("kept", 256).alias("kept_sha256"), covered.alias("covered"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +103,8 @@ cut AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS start,
   UNION ALL SELECT r, coalesce(max(b), 0), any_value(n) FROM d LEFT JOIN span USING (r) GROUP BY r),
 kept AS (SELECT r, string_agg(substr(h, 2 * start + 1, 2 * (stop - start)), '' ORDER BY start) AS h FROM cut JOIN d USING (r) GROUP BY r),
 total AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM span GROUP BY r)
-SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256 FROM d JOIN kept USING (r) LEFT JOIN total USING (r)"""
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256,
+  CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE CAST(coalesce(n_removed, 0) AS DOUBLE) / n END AS covered FROM d JOIN kept USING (r) LEFT JOIN total USING (r)"""
 
 _OP5 = r"""WITH split AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),

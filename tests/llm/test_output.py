@@ -155,6 +155,18 @@ def test_shards(spark):
     assert not shard.assign(cases.empty(spark), F.col("doc_id")).count()
 
 
+def test_shards_of_one_key(spark):
+    """A key that most rows share fills no window: its cell is ranked in parts, and places stay gapless."""
+    rows = spark.range(6_000).select(F.when(F.col("id") % 6 > 0, F.lit(7)).otherwise(F.col("id")).alias("k")).repartition(5)
+    out = shard.assign(rows, F.col("k"), 4)
+    by = {}
+    for r in out.collect():
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert [sorted(by[s]) for s in range(4)] == [list(range(1500))] * 4
+    placed, _ = shard._parts(rows.select(F.lit(3).alias("_s_cell"), F.monotonically_increasing_id().alias("_s_id")), [3])
+    assert max(r["count"] for r in placed.groupBy("_s_cell", "_s_part").count().collect()) < 60
+
+
 def test_shards_move_little(spark):
     rows = spark.range(20_000)
     place = lambda n: {r["id"]: r["shard"] for r in shard.assign(rows, F.col("id"), n, slack=0.05).collect()}

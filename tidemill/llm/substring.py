@@ -6,8 +6,8 @@ is estimated as repeated are grouped exactly, by a 128-bit cryptographic digest
 bytes; none that is repeated can be missing. Hashes of words only choose anchors and buckets: two that collide
 cost time, not results. Within some megabytes of text a repeat is settled on the spot and only the first of
 equal windows is sent on, so a window that a third of all documents share is sent once a stretch and not once
-a document. Windows meet by their anchor, those of very common anchors by their own digest and one of ``SALTS`` numbers of
-the stretch; what each of these groups has first meets once more by digest. So no place gathers more than its share.
+a document. Windows meet by their anchor, those of very common anchors by their own digest, so a group has one
+window's stretches at most.
 
 Defined cases: null and empty texts have no words; very long texts are read in slices that end at white space, and
 all their windows are compared; a doc_id stands for one document, so rows that repeat it with the
@@ -21,19 +21,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.anchors import Rolling, collapse, groups, hash_runs, mixed, ranges, smallest, spread
-from tidemill.llm.common import key_back, keyed_texts, stored
+from tidemill.llm.anchors import Rolling, collapse, groups, hash_runs, ranges, smallest, spread
+from tidemill.llm.common import key_back, keyed_texts
 from tidemill.llm.sketch import SCHEMA, Estimate, TaskSketch, bits_for
 
 WINDOW, RUN = 20, 6
 #: Bytes of text looked at together, bytes whose words are hashed together, and bytes of all texts that one bucket stands for.
 STRETCH, SLICE, BUCKET = 1_000_000, 1 << 18, 8 << 20
-#: Groups over which the windows with one very common digest are dealt, by stretch.
-SALTS = 4096
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -145,7 +142,6 @@ def _sketch(bits: int, window: int, run: int):
 
 def _send(estimate, buckets: int, window: int, run: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
         for turn, x in enumerate(word_stretches(batches)):
             w = Windows(x, window, run)
             keep = estimate.value.repeated(w.anchor)
@@ -159,10 +155,8 @@ def _send(estimate, buckets: int, window: int, run: int):
             if len(d):
                 rows.append((int(d[0, 0] + turn) % buckets, d, p, n, np.zeros(0, "<u8")))
             anchor, doc, at, own = (v[~mark] for v in (anchor, doc, at, own))
-            salted = mixed(own[:, 0] + np.uint64((part + turn) % SALTS))
-            common = estimate.value.very_common(anchor)
-            bucket = (np.where(common, salted, anchor) % np.uint64(buckets)).astype(np.int64)
-            bucket = np.where(common, -1 - bucket, bucket)  # below 0: to be settled once more
+            key = np.where(estimate.value.very_common(anchor), own[:, 0], anchor)
+            bucket = (key % np.uint64(buckets)).astype(np.int64)
             s = np.lexsort((at, *doc.T[::-1], bucket))
             doc, at, own, bucket = (v[s] for v in (doc, at, own, bucket))
             if len(own):
@@ -179,20 +173,8 @@ def _send(estimate, buckets: int, window: int, run: int):
     return go
 
 
-_MARKS = "doc_id long, sub long, at long, n int"
-
-
-def _marked(doc: np.ndarray, at: np.ndarray, n: np.ndarray, own: np.ndarray | None = None) -> pa.Table:
-    """Places as rows; with the digests those that are to be settled once more."""
-    out = {"doc_id": pa.array(doc[:, 0], pa.int64()), "sub": pa.array(doc[:, 1], pa.int64()), "at": pa.array(at, pa.int64()), "n": pa.array(n, pa.int32())}
-    for k, i in (("a", 0), ("b", 1)):
-        out[k] = pa.nulls(len(at), pa.int64()) if own is None else pa.array(own[:, i].view(np.int64), pa.int64())
-    return pa.table(out)
-
-
 def _settle(table: pa.Table) -> pa.Table:
-    """The places of a bucket's windows that have an equal one before them, as ranges; and those settled before. Of
-    buckets below 0 also each window that is the first of its equals there."""
+    """The places of a bucket's windows that have an equal one before them, as ranges; and those settled before."""
     got = {k: [np.frombuffer(x, t) for x in table.column(k).to_pylist()] for k, t in _KINDS.items()}
     settled = [i for i, x in enumerate(got["own"]) if not len(x)]
     live = [i for i, x in enumerate(got["own"]) if len(x)]
@@ -202,22 +184,8 @@ def _settle(table: pa.Table) -> pa.Table:
     doc, at, own = np.repeat(pick("doc", live), n, axis=0), spread(pick("at", live), n), pick("own", live)
     order, again = repeats(doc, at, own)
     d, p, n = _runs(doc[order[again]], at[order[again]])
-    out = _marked(*(np.concatenate((x, pick(k, settled))) for k, x in (("doc", d), ("at", p), ("n", n))))
-    if table.column("bucket")[0].as_py() >= 0:
-        return out
-    first = order[~again]
-    new = np.ones(len(first), bool)
-    new[1:] = (own[first[1:]] != own[first[:-1]]).any(axis=1)
-    first = first[new]
-    return pa.concat_tables([out, _marked(doc[first], at[first], np.ones(len(first)), own[first])])
-
-
-def _settle_firsts(table: pa.Table) -> pa.Table:
-    """The same over the firsts of the salted groups."""
-    doc, own = (np.stack([table.column(k).to_numpy() for k in pair], axis=1) for pair in (("doc_id", "sub"), ("a", "b")))
-    at = table.column("at").to_numpy()
-    order, again = repeats(doc, at, own.view(np.uint64))
-    return _marked(*_runs(doc[order[again]], at[order[again]])).select(["doc_id", "sub", "at", "n"])
+    out = [np.concatenate((x, pick(k, settled))) for k, x in (("doc", d), ("at", p), ("n", n))]
+    return pa.table({"doc_id": pa.array(out[0][:, 0], pa.int64()), "sub": pa.array(out[0][:, 1], pa.int64()), "at": pa.array(out[1], pa.int64()), "n": pa.array(out[2], pa.int32())})
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
@@ -227,9 +195,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> D
     bits, buckets = bits_for(size / 6 * 2 / (window - run + 2)), max(16, size // BUCKET)
     estimate = spark.sparkContext.broadcast(Estimate(rows.mapInArrow(_sketch(bits, window, run), SCHEMA), bits))
     sent = rows.mapInArrow(_send(estimate, buckets, window, run), _SENT)
-    found = stored(sent.groupBy("bucket").applyInArrow(_settle, f"{_MARKS}, a long, b long"), "substring-settled")
-    firsts = found.filter("a is not null").withColumn("bucket", F.pmod("a", F.lit(buckets)))
-    return found.filter("a is null").drop("a", "b").unionByName(firsts.groupBy("bucket").applyInArrow(_settle_firsts, _MARKS))
+    return sent.groupBy("bucket").applyInArrow(_settle, "doc_id long, sub long, at long, n int")
 
 
 def _remove(window: int):

@@ -71,10 +71,11 @@ def tables(spark, tmp_path_factory):
     docs = [(i, t, *[None] * 3, 9, 1, "w", 2, 3, "s", "p") for i, t in [(1, None), (2, ""), (None, None), (None, ""), (3, "one"), (3, "one"), (4, good), (4, good), (4, good + " token=abcdef99"), (None, good), (5, " \t\n"), (6, "\0 \x1c"), (7, "password=hunter2 " + good)]]
     odd_pages = [(None, None, None), (1, None, "x"), (1, None, "x"), (2, "u", ""), (None, "u", "h" * 100_000)]
     items = [(None, None), (1, ""), (2, "one"), (None, "word1 and word2"), (2, "one")]
+    vecs = [(None, [1.0], 1), (0, None, 1), (0, [1.0, 2.0], 1), (0, [1.0, 2.0], 1), (50, [1.0, None], 1), (50, [float("nan")], 1), (50, [], None), (7, [0.5], 9), (3, [0.25, 3.0], 0), (4, [1.0, 1.0], 2)]
     out = {}
     for name, keep in (("empty", 0), ("odd", None)):
         path = str(tmp_path_factory.mktemp(name))
-        for table, rows, schema in (("documents", docs, DOCS), ("pages", odd_pages, "page_id long, url string, html string"), ("benchmark", items, "item_id long, text string")):
+        for table, rows, schema in (("documents", docs, DOCS), ("pages", odd_pages, "page_id long, url string, html string"), ("benchmark", items, "item_id long, text string"), ("embeddings", vecs, "vec_id long, embedding array<float>, label int")):
             spark.createDataFrame(rows[:keep], schema).write.parquet(f"{path}/{table}.parquet")
         out[name] = path
     return out
@@ -90,6 +91,13 @@ def test_odd_tables(spark, tables, name):
     rows = QUERIES[name](spark, tables["odd"]).collect()
     if name == "pipeline":  # one row of the good text stays, and its near duplicate with a secret has gone with the copies
         assert {r["doc_id"] for r in rows} <= {None, 4, 7} and rows
+    elif name == "op11_pivot_search":
+        assert sorted(tuple(r) for r in rows if r["query_id"] == 50) == [(50, 1, 0, 0), (50, 2, 0, 0), (50, 3, 3, 0), (50, 4, 4, 0), (50, 5, 7, 0)]
+        assert sorted(tuple(r) for r in rows if r["query_id"] == 0) == sorted(2 * [(0, 1, 3, 409600), (0, 2, 0, 327680), (0, 3, 4, 196608), (0, 4, 7, 32768), (0, 5, 50, 0)])
+    elif name == "op12_hard_negatives":  # the label of 0 becomes 2: its positives are its copy and 4, and no other score lies in their windows
+        assert rows == []
+    elif name == "op13_source_divergence":  # one group of empty names: no other source
+        assert rows == []
     else:
         assert len(rows) == (5 if name == "op4_warc_fixity" else 13)
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import binary, decontaminate, ngram_join, packing, quality, secrets, shard, substring, suffix, warc
+from tidemill.llm import binary, decontaminate, divergence, negatives, ngram_join, packing, pivots, quality, secrets, shard, substring, suffix, warc
 from tidemill.llm.common import documents, key_back, stored
 
 
@@ -90,7 +90,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_join, op3_secrets, op4_warc_fixity, op5_decontaminate, op6_quality, op7_token_ids, op8_ring_shards, op9_substring_dedup, op10_packing)}
+def op11_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every 50th vector, among all."""
+    return pivots.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector's positives; every 7th vector's label is the next one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label, F.col("vec_id") % 50 == 0)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all sources of all documents, and the terms that make it."""
+    return divergence.audit(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_join, op3_secrets, op4_warc_fixity, op5_decontaminate, op6_quality, op7_token_ids, op8_ring_shards, op9_substring_dedup, op10_packing, op11_pivot_search, op12_hard_negatives, op13_source_divergence)}
 
 #: Bytes as hex digits, cut into parts of 500 window starts, as taking a substring of a long text counts its characters.
 _OP1 = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
@@ -156,4 +172,34 @@ SELECT page_id, segment, seq, start AS "offset", length, sha256(seq || ':' || st
   CASE WHEN ('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8))::BIGINT % 1000 = 7 THEN 'changed' ELSE 'equal' END AS state FROM p"""
 _OP4 = _OP4.replace("~", "' || chr(13) || chr(10) || '")
 
-ORACLES = {"op1_suffix_dedup": _OP1, "op4_warc_fixity": _OP4, "op2_ngram_join": _OP2, "op9_substring_dedup": _OP9, "op5_decontaminate": _OP5}
+_VECTORS = """v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+_OP11 = f"""WITH {_VECTORS},
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r)
+SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY r ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
+
+_OP12 = f"""WITH {_VECTORS},
+l AS (SELECT r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, x FROM v WHERE label IS NOT NULL),
+s AS (SELECT a.r, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.x, c.x) AS BIGINT) AS score FROM l a JOIN l c ON a.vec_id % 50 = 0 AND a.r <> c.r),
+p AS (SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS nth FROM s WHERE same QUALIFY nth <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.r, nth ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.r = s.r AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+_OP13 = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+own AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(any_value(langs.n), 0) AS in_lang, coalesce(sum(own.n), 0) AS in_group FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN langs USING (lang) LEFT JOIN own USING (lang, source) GROUP BY ALL),
+every AS (SELECT lang, g.source, term, CAST(1 + (1000000000::HUGEINT * (coalesce(own.n, 0) + 1)) // (in_group + v) AS HUGEINT) AS p, CAST(1 + (1000000000::HUGEINT * (kept.n + 1)) // (in_lang + v) AS HUGEINT) AS q, coalesce(own.n, 0) AS n
+  FROM groups g JOIN kept USING (lang) LEFT JOIN own USING (lang, source, term)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM every a JOIN every b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM every WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+ORACLES = {"op1_suffix_dedup": _OP1, "op4_warc_fixity": _OP4, "op2_ngram_join": _OP2, "op9_substring_dedup": _OP9, "op5_decontaminate": _OP5, "op11_pivot_search": _OP11, "op12_hard_negatives": _OP12, "op13_source_divergence": _OP13}

@@ -92,7 +92,8 @@ def test_view(spark):
 
 @pytest.mark.parametrize(("body", "want"), [
     ('{"version": "0.1", "status": "idle"}', ("status-dot idle", "idle", False, "v0.1")), ('{"status": "working", "more": [1]}', ("status-dot working", "working", True, None)),
-    *((x, ("status-dot", "unreachable", False, None)) for x in (None, "", "<html>", '{"version": "0.1"', '{"version": "0.1"}', "[]", "7", "null")),
+    (' \n{"status": "idle", "version": "a,b]}"}\t', ("status-dot idle", "idle", False, "va,b]}")),
+    *((x, ("status-dot", "unreachable", False, None)) for x in ('{"version":"1","status":"idle"} xyz', "{'status':'idle'}", '{"status":"idle"}{"status":"idle"}', '{"status":"idle"},{"status":"idle"}', '{"status":"idle"},"x":2', '{"status":"idle"}] [', '{"status":"idle","n":NaN}', "{status:1}", None, "", "<html>", '{"version": "0.1"', '{"version": "0.1"}', "[]", "7", "null")),
 ])
 def test_view_of_raw_body(spark, body, want):
     df = spark.createDataFrame([(body,)], "b string").select(status.parsed(F.col("b")).alias("response"))
@@ -125,7 +126,9 @@ def test_driver_log_rotates(tmp_path, capsys):
         shown = capsys.readouterr().out
         assert shown.count("line 7") == 1 and "dropped" not in shown and "ValueError: boom" in shown and " | Info     | test_cases.py:" in shown
         assert sorted(p.name for p in tmp_path.iterdir()) == ["latest.log", "latest.log.1", "latest.log.2"]
-        driver_log.configure("INFO", "")
+        logging.getLogger("quiet").addHandler(own := logging.NullHandler())
+        driver_log.configure("INFO", "", overrides={"quiet": "NOTSET", "odd": "nonsense"})
+        assert logging.getLogger("quiet.x").getEffectiveLevel() == 20 and logging.getLogger("odd").level == 30 and logging.getLogger("quiet").handlers == [own]
         assert [type(h).__name__ for h in top.handlers] == ["StreamHandler"] and top.level == 20
     finally:
         for h in [*top.handlers]:
@@ -135,6 +138,33 @@ def test_driver_log_rotates(tmp_path, capsys):
         logging.getLogger("quiet").setLevel(0)
 
 
+@pytest.mark.parametrize(("level", "failed"), [(10, True), (20, True), (50, False), (45, False)])
+def test_driver_log_like_columns(spark, level, failed):
+    """Both renderings of one record are the same, in plain and in colour."""
+    import logging
+    from logging.config import dictConfig
+    import time
+
+    record = logging.LogRecord("x", level, "/a/some.py", 7, "hi %s", ("you",), None)
+    if failed:
+        try:
+            raise ValueError("boom")
+        except ValueError:
+            import sys
+
+            record.exc_info = sys.exc_info()
+    text = logging.Formatter().formatException(record.exc_info) if failed else None
+    at = time.strftime("%Y-%m-%d %H:%M:%S", time.localtime(record.created))
+    c = F.col
+    df = spark.createDataFrame([(level, logging.getLevelName(level), "some.py", 7, "hi you", text)], "l int, ln string, f string, n int, m string, e string").withColumn("ts", F.lit(at).cast("timestamp"))
+    for coloured in (False, True):
+        declared = driver_log.settings("DEBUG", coloured=coloured)
+        dictConfig(declared | {"handlers": {"console": declared["handlers"]["console"]}, "root": {"handlers": []}, "loggers": {"tidemill.test": {"handlers": ["console"]}}})
+        handler = logging.getLogger("tidemill.test").handlers[0]
+        assert handler.filter(record)
+        assert handler.format(record) == df.select(log_line(c("ts"), c("l"), c("ln"), c("f"), c("n"), c("m"), c("e"), coloured)).first()[0]
+
+
 def test_stream(spark, sf_dir, tmp_path):
     from tidemill.plans.queries import records
     from tidemill.streaming.logs import log_lines

@@ -1,7 +1,9 @@
 import pytest
 from oracle import assert_same
 
-from tidemill.plans.queries import ORACLE_SQL, QUERIES
+from tidemill.plans import extensions, queries
+
+QUERIES, ORACLE_SQL = queries.QUERIES | extensions.QUERIES, queries.ORACLE_SQL | extensions.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

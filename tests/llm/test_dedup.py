@@ -230,3 +230,35 @@ def test_empty(spark):
     assert not suffix.remove_repeats(none).count()
     assert not substring.remove_repeats(none).count()
     assert not ngram_join.near_duplicates(none).count()
+
+
+def confused() -> tuple[str, str]:
+    """Two words of a and b to which both polynomials of ``hash_runs`` give equal values: blocks of the Thue-Morse word and its
+    complement are equal modulo 2^64, and which of them to take so that the other modulus agrees too is found from both halves."""
+    block = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    prime, half = (1 << 31) - 1, 11
+    step = pow(0x3A5F1C7D, 2048, prime)
+    signs = np.stack([(np.arange(3**half) // 3**k) % 3 - 1 for k in range(half)], axis=1)
+    powers = np.array([pow(step, k, prime) for k in range(2 * half)], np.int64)
+    left, right = ((signs * powers[k : k + half] % prime).sum(axis=1) % prime for k in (0, half))
+    both = np.intersect1d(left, -right % prime, return_indices=True)
+    i, j = next((i, j) for v, i, j in zip(*(x.tolist() for x in both), strict=True) if v)
+    chosen = [*signs[i].tolist(), *signs[j].tolist()]
+    other = block.translate(str.maketrans("ab", "ba"))
+    return "".join(other if s > 0 else block for s in chosen), "".join(other if s < 0 else block for s in chosen)
+
+
+def test_words_that_both_polynomials_confuse(spark):
+    from tidemill.llm.anchors import hash_runs
+
+    x, y = confused()
+    data = np.frombuffer(f"{x} {y}".encode(), np.uint8)
+    one, two = hash_runs(data, np.array([0, len(x) + 1]), np.array([len(x), len(data)]))
+    assert x != y and one == two
+    long = " ".join(f"w{i}" for i in range(40))
+    docs = [(1, x), (2, y), (3, x), (4, f"{long} {x}"), (5, f"{long} {y}"), (6, "r " * 300), (7, "r " * 301), (8, f" {y}\n")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in ngram_join.near_duplicates(df).collect()}
+    assert got == cases.brute_join(dict(docs))
+    assert got[1] == (1, 0, 2) and got[2] == (2, 0, 2) and got[6][2] == 2
+    assert {r["doc_id"] for r in ngram_join.keep_one(df).collect()} == {1, 2, 4, 6}

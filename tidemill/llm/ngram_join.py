@@ -1,7 +1,9 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles have a similarity of 0.8 or more.
 
-1. Every text becomes a set of shingle hashes, of which its MinHash values are kept. Documents with equal
-   sets (by a 128-bit cryptographic digest of all their hashes) are copies; one of each class of copies stands for them.
+1. Every text becomes a set of shingle hashes, of which its MinHash values are kept. Documents with equal sets are
+   copies, and one of each class of copies stands for them. Equal words, by a 128-bit cryptographic digest of the words' own bytes,
+   make equal sets. Where texts of different words have equal sets of hashes, a digest of the sorted shingles themselves tells whether
+   their sets are equal, for hashes can be made to collide.
 2. Classes that share a band (4 of 96 MinHash values) are candidates; a pair of similarity 0.8 shares none of
    the 24 bands in 3 cases of a million. In a band, MinHash values are compared 16 at a time, and a pair is
    dropped when the posterior probability that its similarity reaches the threshold falls below the
@@ -115,11 +117,24 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = (mixed(mins) & np.uint64(0xFF)).astype(np.uint8)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(docs) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array(k, pa.int64()) for k in docs.T), pa.array(size, pa.int64()), *(pa.array(s, pa.int64()) for s in sums), lists, pa.array([x.tobytes() for x in low], pa.binary())],
-            names=["doc_id", "sub", "bytes", "n", "d1", "d2", "bands", "low"],
+            [*(pa.array(k, pa.int64()) for k in docs.T), pa.array(size, pa.int64()), *(pa.array(s, pa.int64()) for s in (*sums, *words.wholes().T)), lists, pa.array([x.tobytes() for x in low], pa.binary())],
+            names=["doc_id", "sub", "bytes", "n", "d1", "d2", "w1", "w2", "bands", "low"],
         )
 
 
+def _told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """s1, s2 beside the keys: the digest of a text's distinct shingles in order. Words hold no white space, so spaces and line ends part them."""
+    for batch in batches:
+        own = []
+        for text in batch.column("text"):
+            words = text.as_py().encode().split()
+            shingles = {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+            own.append(blake2b(b"\n".join(sorted(shingles)), digest_size=16).digest())
+        sums = np.frombuffer(b"".join(own), "<i8").reshape(-1, 2)
+        keep = batch.drop_columns(["text"])
+        yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(sums[:, 0], pa.int64()), pa.array(sums[:, 1], pa.int64())], names=[*keep.schema.names, "s1", "s2"])
+
+
 @functools.cache
 def least_matches(threshold: float, tolerance: float) -> tuple[int, ...]:
     """After 16, 32, ... values: the fewest matches with which a pair stays. Values of 8 bits also match by chance."""
@@ -227,8 +242,15 @@ def _classified(docs: DataFrame) -> DataFrame:
     """doc_id and sub of each row, class_id and class_sub (the smallest of its near-duplicate class), n_links, n_copies."""
     spark, rows = docs.sparkSession, keyed_texts(docs)
     sized = rows.select("doc_id", "sub", F.octet_length("text").cast("long").alias("bytes"), "text")
-    signed = stored(sized.mapInArrow(_signatures, "doc_id long, sub long, bytes long, n long, d1 long, d2 long, bands array<long>, low binary"), "signatures")
-    alike = ["n", "d1", "d2"]
+    signed = stored(sized.mapInArrow(_signatures, "doc_id long, sub long, bytes long, n long, d1 long, d2 long, w1 long, w2 long, bands array<long>, low binary"), "signatures")
+    hashed, alike = ["n", "d1", "d2"], ["n", "d1", "d2", "s1", "s2"]
+    # Sets of hashes that several runs of words have; one text of each run is looked at.
+    run = F.struct("w1", "w2")
+    doubtful = signed.groupBy(*hashed).agg(F.min(run).alias("one"), F.max(run).alias("other")).filter("one <> other").select(*hashed)
+    texts = signed.join(doubtful, hashed, "left_semi").groupBy(*hashed, "w1", "w2").agg(F.min(F.struct("doc_id", "sub")).alias("k")).select(*hashed, "w1", "w2", "k.*")
+    texts = texts.join(rows, ["doc_id", "sub"]).dropDuplicates([*hashed, "w1", "w2"]).select(*hashed, "w1", "w2", "text")
+    apart = stored(texts.mapInArrow(_told_apart, "n long, d1 long, d2 long, w1 long, w2 long, s1 long, s2 long"), "apart")
+    signed = signed.join(apart, [*hashed, "w1", "w2"], "left").fillna(0, ["s1", "s2"])
     least = F.min(F.struct("doc_id", "sub", "bytes")).alias("least")
     classes = signed.groupBy(*alike).agg(least, F.count_distinct("doc_id").alias("n_copies"), F.first("bands").alias("bands"), F.first("low").alias("low"))
     # rep is a class's number, and doc_id and sub say which text is compared for it.

@@ -3,10 +3,12 @@
 A document longer than the window is cut at multiples of it; its last piece and shorter documents are the
 pieces to combine. Only the numbers of pieces by length (2048 at most) reach the driver. There each window
 starts with the longest length left, and a subset-sum over the bits of one integer tells which fillings of
-the rest the multiset of lengths can make; the one closest to full is traced back to counts of lengths. The
-pattern is used as often as its counts allow, which uses up some length, so there are 2048 patterns or so at
-most, whatever the number of documents. Pieces find their place from their rank among the pieces of their
-length: the rank within a task, plus the number in the tasks before.
+the rest the multiset of lengths can make; the one closest to full is traced back to counts of lengths. Where it leaves more than
+``SLACK`` ids free, one more piece, of the smallest length that is longer than what is free, is cut: its head fills the window, and its tail
+is a piece of its own from then on. So padding is below ``SLACK`` ids a window for any lengths, but for the last window. The
+pattern is used as often as its counts allow, which uses up some length. Pieces find their place from their rank among the pieces of their
+length: the rank within a task, plus the number in the tasks before; tails follow behind all those. Which of two equally long pieces
+comes first depends on how the input is partitioned.
 
 Defined cases: a null or empty text is one piece of the end id alone; a very long text is encoded whole and cut at multiples of the window; repeated rows are packed one by one; an
 empty table gives no pieces; further columns are left alone.
@@ -14,6 +16,7 @@ empty table gives no pieces; further columns are left alone.
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 import zlib
 
 import numpy as np
@@ -26,7 +29,8 @@ from pyspark.sql import Window as W
 from tidemill.llm.common import key_back, stored, texts
 from tidemill.llm.tokens import END, words
 
-WINDOW = 2048
+#: Ids of a window, and how many of them may stay free while there are pieces to cut.
+WINDOW, SLACK = 2048, 8
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, nth long, ids binary"
 
 
@@ -50,33 +54,66 @@ def _fill(room: int, left: dict[int, int]) -> dict[int, int]:
     return used
 
 
-def patterns(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, dict[int, int]]]:
-    """(times, counts of lengths in one window) until all pieces are placed."""
+def patterns(counts: dict[int, int], window: int = WINDOW, slack: int = SLACK) -> list[tuple[int, dict[int, int], tuple[int, int] | None]]:
+    """(times, counts of lengths in one window, length of the piece to cut and of its head) until all pieces are placed."""
     left, out = {k: n for k, n in counts.items() if n}, []
     while left:
         longest = max(left)
         rest = {k: n - (k == longest) for k, n in left.items() if n > (k == longest)}
         used = _fill(window - longest, rest)
         used[longest] = used.get(longest, 0) + 1
-        times = min(left[k] // n for k, n in used.items())
-        out.append((times, used))
-        left = {k: m for k, n in left.items() if (m := n - times * used.get(k, 0))}
+        free, cut = window - sum(k * n for k, n in used.items()), None
+        if free > slack and (longer := [k for k, n in left.items() if k > free and n > used.get(k, 0)]):
+            cut = (min(longer), free)
+        taken = used | ({cut[0]: used.get(cut[0], 0) + 1} if cut else {})
+        times = min(left[k] // n for k, n in taken.items())
+        out.append((times, used, cut))
+        left = {k: m for k, n in left.items() if (m := n - times * taken.get(k, 0))}
+        if cut:
+            left[cut[0] - free] = left.get(cut[0] - free, 0) + times
     return out
 
 
-def layout(found: list[tuple[int, dict[int, int]]]) -> dict[int, list[tuple[int, int, int, int]]]:
-    """By length: (first rank, first sequence, pieces of the length in a sequence, offset of the first) by rank."""
-    out, sequence, rank = {}, 0, {}
-    for times, used in found:
+class Place(NamedTuple):
+    """Where pieces of one length go, from a rank on: n of them in a sequence, or cut in a head and a tail that has a rank among its length's."""
+
+    first: int
+    sequence: int
+    n: int
+    offset: int
+    head: int = 0
+    tail: int = 0
+    tail_first: int = 0
+
+
+def layout(found: list[tuple[int, dict[int, int], tuple[int, int] | None]], counts: dict[int, int]) -> dict[int, list[Place]]:
+    """The places of each length's pieces, by rank."""
+    out, sequence, rank, total = {}, 0, {}, dict(counts)
+    for times, used, cut in found:
         offset = 0
         for length, n in sorted(used.items(), reverse=True):
             first = rank.get(length, 0)
-            out.setdefault(length, []).append((first, sequence, n, offset))
+            out.setdefault(length, []).append(Place(first, sequence, n, offset))
             rank[length], offset = first + times * n, offset + n * length
+        if cut:
+            length, head = cut
+            first, tail = rank.get(length, 0), length - head
+            out.setdefault(length, []).append(Place(first, sequence, 1, offset, head, tail, total.get(tail, 0)))
+            rank[length], total[tail] = first + times, total.get(tail, 0) + times
         sequence += times
     return out
 
 
+def _narrow(ids: memoryview) -> bytes:
+    """Ids in two bytes each where that holds them all, else in four."""
+    wide = np.frombuffer(ids, "<u4")
+    return (wide.astype("<u2") if wide.max(initial=0) < 1 << 16 else wide).tobytes()
+
+
+def _wide(held: bytes, length: int) -> bytes:
+    return np.frombuffer(held, f"<u{len(held) // length}").astype("<u4").tobytes()
+
+
 def _cut(path: str, window: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, task = words(path).encode, END.to_bytes(4, "little"), TaskContext.get().partitionId()
@@ -89,9 +126,9 @@ def _cut(path: str, window: int, with_ids: bool):
                 for at in range(0, n, window):
                     length = min(window, n - at)
                     own = ids[4 * at : 4 * (at + length)]
-                    rows.append((doc, at, length, zlib.crc32(own), n, task, seen[length], bytes(own) if with_ids else None))
+                    rows.append((doc, at, length, zlib.crc32(own), n, task, seen[length], _narrow(own) if with_ids or length < window else None))  # a whole window's piece is never cut
                     seen[length] += 1
-                    if len(rows) == 20_000:
+                    if len(rows) == 4_000:
                         yield _batch(rows)
                         rows = []
             yield _batch(rows)
@@ -106,18 +143,31 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, cols, strict=True)], names=names)
 
 
-def _place(by_length: dict[int, list[tuple[int, int, int, int]]]):
+_PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+
+
+def _place(by_length: dict[int, list[Place]], with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {k: ([x[0] for x in v], v) for k, v in by_length.items()}
+        tables = {k: ([x.first for x in v], v) for k, v in by_length.items()}
+        names = [x.split()[0] for x in _PLACED.split(", ")]
         for batch in batches:
-            sequence, offset = [], []
-            for length, rank in zip(batch.column("length").to_pylist(), batch.column("rank").to_pylist(), strict=True):
-                firsts, ranges = tables[length]
-                first, base, n, at = ranges[bisect_right(firsts, rank) - 1]
-                sequence.append(base + (rank - first) // n)
-                offset.append(at + (rank - first) % n * length)
-            keep = batch.drop_columns(["rank"])
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*keep.schema.names, "sequence_id", "offset"])
+            rows = []
+            for doc, start, length, crc, tokens, rank, held in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank", "ids")), strict=True):
+                ids = None
+                while True:
+                    firsts, places = tables[length]
+                    at = places[bisect_right(firsts, rank) - 1]
+                    nth = rank - at.first
+                    if ids is None and (at.head or with_ids):
+                        ids = _wide(held, length)
+                    if not at.head:
+                        break
+                    rows.append((doc, start, at.head, zlib.crc32(ids[: 4 * at.head]), tokens, at.sequence + nth, at.offset, ids[: 4 * at.head] if with_ids else None))
+                    start, length, ids, rank = start + at.head, at.tail, ids[4 * at.head :], at.tail_first + nth
+                    crc = zlib.crc32(ids)
+                rows.append((doc, start, length, crc, tokens, at.sequence + nth // at.n, at.offset + nth % at.n * length, ids if with_ids else None))
+            cols = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, cols, strict=True)], names=names)
 
     return run
 
@@ -129,7 +179,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = Fals
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
     by_task = stored(by_task.withColumn("before", before), "piece-counts")
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # as many rows as the window is long at most
-    more = ["ids"] * with_ids
-    ranked = pieces.join(by_task.drop("n"), ["length", "task"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", *more, (F.col("nth") + F.col("before")).alias("rank"))
-    out = ranked.mapInArrow(_place(layout(patterns(counts, window))), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids + ", sequence_id long, offset long")
-    return out.withColumn("doc_id", key_back(F.col("doc_id")))
+    ranked = pieces.join(by_task.drop("n"), ["length", "task"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", (F.col("nth") + F.col("before")).alias("rank"))
+    out = ranked.mapInArrow(_place(layout(patterns(counts, window), counts), with_ids), _PLACED).withColumn("doc_id", key_back(F.col("doc_id")))
+    first = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    return out.select(*first, *["ids"] * with_ids, "sequence_id", "offset")

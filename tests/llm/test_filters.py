@@ -85,6 +85,45 @@ def test_em_finds_accuracies():
     assert empty == quality.START and empty.posterior(0) < 0.5 < empty.posterior(3**quality.RULES - 1)
 
 
+def independent_posterior(votes: list[tuple[int, ...]], rounds: int = 100) -> list[float]:
+    """The same estimate written apart from the library: document by document, in arrays."""
+    v = np.array(votes)
+    prior, right = 0.9, {1: np.full(v.shape[1], 0.95), -1: np.full(v.shape[1], 0.4)}
+    for _ in range(rounds + 1):
+        on_good = np.where(v == 1, right[1], np.where(v == -1, 1 - right[1], 1)).prod(axis=1) * prior
+        on_bad = np.where(v == -1, right[-1], np.where(v == 1, 1 - right[-1], 1)).prod(axis=1) * (1 - prior)
+        q = on_good / (on_good + on_bad)
+        if _ == rounds:
+            return q.tolist()
+        hits = {k: ((v == k) * w[:, None]).sum(axis=0) for k, w in ((1, q), (-1, 1 - q))}
+        seen = {k: ((v != 0) * w[:, None]).sum(axis=0) for k, w in ((1, q), (-1, 1 - q))}
+        right = {k: (hits[k] + 2 * first) / (seen[k] + 2) for k, first in ((1, 0.95), (-1, 0.4))}
+        prior = (q.sum() + 2 * 0.9) / (len(v) + 2)
+
+
+def plain_votes(text: str) -> tuple[int, ...]:
+    """The rules' votes, from the text alone."""
+    n, chars, symbols, dup_lines, repeated = cases.brute_quality(text)
+    lines = [x for x in text.split("\n") if cases.words(x)]
+    short = sum(len(w) <= 3 and w.isalpha() for w in cases.words(text))
+    vote = lambda share, good, bad: 1 if share <= good else -1 if share >= bad else 0
+    mean = chars / n
+    return (1 if 3 <= mean <= 10 else -1 if mean < 2.5 or mean > 12 else 0, vote(symbols / n, 0.02, 0.1), vote(1 - short / n, 0.85, 0.92), vote(repeated / n, 0.1, 0.2),
+            vote(1 - len(set(cases.words(text))) / n, 0.5, 0.7), vote(dup_lines / len(lines), 0.1, 0.3), vote(len(lines) / n, 0.1, 0.25))
+
+
+def test_quality_query_by_an_estimate_of_its_own(spark):
+    """Votes and posterior of the registered query, from texts and an estimate that share no code with it."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    failed = {d: (b := cases.brute_quality(t))[0] < 50 or 2 * b[4] > b[0] for d, t in texts.items()}
+    order = [d for d in texts if not failed[d]]
+    want = dict(zip(order, independent_posterior([plain_votes(texts[d]) for d in order]), strict=True))
+    got = {r["doc_id"]: r for r in registry.op6_quality(spark, sf).collect()}
+    assert all(abs(got[d]["posterior"] - want[d]) < 1e-6 and got[d]["kept"] == (want[d] >= 0.5) for d in order)
+    assert all(not got[d]["kept"] for d in texts if failed[d]) and 0.5 < sum(want[d] >= 0.5 for d in order) / len(order) < 1
+
+
 def test_em_names_the_classes():
     """Started the wrong way round, the classes get their names by the votes all the same."""
     counts = {3**3 - 1: 900, 0: 100}

@@ -1,8 +1,9 @@
 """Quality rules as weak supervision, with DataFrame functions alone.
 
-Nine rules on a document's words and lines each vote good (1), bad (-1) or abstain (0). They overlap: what
-is bad in one way is seen by two or more of them, so how far a rule can be trusted shows in how often others agree.
-The numbers of documents by vote pattern (3^9 rows at most, whatever the input) go to the driver, where
+Seven rules on a document's words and lines each vote good (1), bad (-1) or abstain (0). No two of them count the same
+characters, words or lines: symbols, words of one to three letters, repeated windows, distinct words, repeated lines, lines, lengths. So
+where two of them agree, it is because of what the document is, and how far a rule can be trusted shows in how often others agree.
+The numbers of documents by vote pattern (3^7 rows at most, whatever the input) go to the driver, where
 expectation-maximisation estimates for each rule how often it votes good on good documents and bad on bad
 ones. A document's quality is the posterior probability of good given its votes; that replaces the demand
 that all rules pass: one bad vote of a rule that often votes so alone doesn't condemn a document. The fixed
@@ -23,6 +24,8 @@ from tidemill.llm.common import stored
 
 #: White space between words, as a pattern.
 SPACE = r"[\x20\x09-\x0D]+"
+#: A word of one to three letters and nothing else; of such words prose has many, and lists and junk few.
+SHORT = r"(?<![^\x20\x09-\x0D])\p{L}{1,3}(?![^\x20\x09-\x0D])"
 #: Prefix of the columns that hold what the rules look at.
 P = "_q_"
 
@@ -32,16 +35,14 @@ def _without(text: Column, pattern: str) -> Column:
 
 
 def with_features(docs: DataFrame, column: str = "text") -> DataFrame:
-    """For the texts in a column adds _q_n_words, _q_word_chars, _q_n_symbols, _q_n_dup_lines, _q_n_repeat_words, _q_n_lines, _q_n_distinct, _q_n_upper, _q_n_bangs and _q_n_marks."""
+    """For the texts in a column adds _q_n_words, _q_word_chars, _q_n_symbols, _q_n_dup_lines, _q_n_repeat_words, _q_n_lines, _q_n_distinct and _q_n_short."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))
     c = lambda name: F.col(P + name)
     df = docs.withColumns({
         P + "words": F.filter(F.split(text, SPACE), lambda w: w != ""),
         P + "lines": F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, SPACE, "") != ""),
         P + "n_symbols": _without(text, r"[#*$%&|<>]+").cast("long"),
-        P + "n_upper": _without(text, "[A-Z]+"),
-        P + "n_bangs": _without(text, "!+"),
-        P + "n_marks": _without(text, r"[^\p{L}\p{N}\x20\x09-\x0D]+"),
+        P + "n_short": F.regexp_count(text, F.lit(SHORT)),
     })
     n = F.size(c("words"))
     df = df.withColumns({
@@ -77,18 +78,16 @@ def votes() -> dict[str, Column]:
     return {
         "word_length": F.when((chars / words).between(3, 10), 1).when((chars / words < 2.5) | (chars / words > 12), -1).otherwise(0),
         "symbols": _vote(c("n_symbols") / words, 0.02, 0.1),
-        "marks": _vote(c("n_marks") / chars, 0.06, 0.1),
+        "short_words": _vote(1 - c("n_short") / words, 0.85, 0.92),
         "repeated_words": _vote(c("n_repeat_words") / words, 0.1, 0.2),
         "few_words": _vote(1 - c("n_distinct") / words, 0.5, 0.7),
         "repeated_lines": _vote(c("n_dup_lines") / F.nullif(c("n_lines"), F.lit(0)), 0.1, 0.3),
         "short_lines": _vote(c("n_lines") / words, 0.1, 0.25),
-        "capitals": _vote(c("n_upper") / chars, 0.2, 0.4),
-        "exclamations": _vote(c("n_bangs") / words, 0.03, 0.15),
     }
 
 
 #: How many rules there are.
-RULES = 9
+RULES = 7
 
 
 def vote_pattern() -> Column:
@@ -149,7 +148,7 @@ def fit(counts: dict[int, int], rules: int = RULES, rounds: int = 100, start: Mo
 
 
 def pattern_counts(featured: DataFrame) -> dict[int, int]:
-    """Documents that pass the base by vote pattern: at most 3^9 rows, a bound that doesn't depend on the input."""
+    """Documents that pass the base by vote pattern: at most 3^7 rows, a bound that doesn't depend on the input."""
     return {r["p"]: r["n"] for r in featured.filter(~base_failed()).groupBy(vote_pattern().alias("p")).agg(F.count("*").alias("n")).collect()}
 
 

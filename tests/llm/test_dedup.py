@@ -5,6 +5,7 @@ import random
 import cases
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -262,3 +263,36 @@ def test_words_that_both_polynomials_confuse(spark):
     assert got == cases.brute_join(dict(docs))
     assert got[1] == (1, 0, 2) and got[2] == (2, 0, 2) and got[6][2] == 2
     assert {r["doc_id"] for r in ngram_join.keep_one(df).collect()} == {1, 2, 4, 6}
+
+
+@pytest.mark.parametrize("most", [3, 100_000])
+def test_very_common_windows_are_sent_once_a_task(monkeypatch, most):
+    """Two tasks over texts of which most share a passage, every anchor being very common; then the buckets."""
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(substring, "STRETCH", 1500)
+    monkeypatch.setattr(substring, "MOST_FIRSTS", most)
+    every = lambda a: np.ones(len(a), bool)
+    estimate = SimpleNamespace(value=SimpleNamespace(repeated=every, very_common=every))
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(35))
+    docs = [(i, " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(40))), *[passage] * (i % 3), "end"])) for i in range(90)]
+    rng.shuffle(docs)
+    sent = []
+    for part in (docs[:50], docs[50:]):
+        batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array([0] * len(part), pa.int64()), pa.array([t for _, t in part])], names=["doc_id", "sub", "text"])
+        for out in substring._send(estimate, 4, 20, 6)(iter([batch])):
+            sent += out.to_pylist()
+    live = sum(len(r["own"]) // 16 for r in sent)
+    table = pa.Table.from_pylist(sent, pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("doc", "at", "n", "own"))]))
+    found = []
+    for bucket in set(table.column("bucket").to_pylist()):
+        found += substring._settle(table.filter(pa.compute.equal(table.column("bucket"), bucket))).to_pylist()
+    gone = {d: set() for d, _ in docs}
+    for r in found:
+        gone[r["doc_id"]].update(range(r["at"], r["at"] + r["n"] + 19))
+    want = {d: n for d, _, n, _ in cases.brute_substring(docs, 20)}
+    assert {d: len(g) for d, g in gone.items()} == want and sum(map(bool, want.values())) > 50
+    if most > 3:  # each distinct window once a task at most
+        distinct = {tuple(w[i : i + 20]) for _, t in docs for w in [t.split()] for i in range(len(w) - 19)}
+        assert live <= 2 * len(distinct)

@@ -5,9 +5,9 @@ count is at most its anchor's, so the merged sketch overestimates it. Second pas
 is estimated as repeated are grouped exactly, by a 128-bit cryptographic digest (BLAKE2b) of their words' own
 bytes; none that is repeated can be missing. Hashes of words only choose anchors and buckets: two that collide
 cost time, not results. Within some megabytes of text a repeat is settled on the spot and only the first of
-equal windows is sent on, so a window that a third of all documents share is sent once a stretch and not once
-a document. Windows meet by their anchor, those of very common anchors by their own digest, so a group has one
-window's stretches at most.
+equal windows is sent on, so a window that many documents share is sent once a stretch and not once a document. Windows meet by their
+anchor. Those of very common anchors meet by their own digest, and a task sends only the first place it has met of each: a window
+that a third of all documents share is sent once a task, so what meets in its group is some 40 bytes a task.
 
 Defined cases: null and empty texts have no words; very long texts are read in slices that end at white space, and
 all their windows are compared; a doc_id stands for one document, so rows that repeat it with the
@@ -31,6 +31,8 @@ from tidemill.llm.sketch import SCHEMA, Estimate, TaskSketch, bits_for
 WINDOW, RUN = 20, 6
 #: Bytes of text looked at together, bytes whose words are hashed together, and bytes of all texts that one bucket stands for.
 STRETCH, SLICE, BUCKET = 1_000_000, 1 << 18, 8 << 20
+#: Very common windows that a task holds the first place of, some 20 MB, before it sends them.
+MOST_FIRSTS = 100_000
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -151,35 +153,77 @@ def _sketch(bits: int, window: int, run: int):
     return go
 
 
+class Firsts:
+    """The first place that a task has met so far of each very common window, so that it sends that one place and not one a stretch."""
+
+    def __init__(self):
+        self.held: dict[bytes, tuple[int, int, int]] = {}
+
+    def meet(self, doc: np.ndarray, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """doc and place of those windows, of these and of the ones held, that aren't the first any more."""
+        later = []
+        for d, p, k in zip(map(tuple, doc.tolist()), at.tolist(), own, strict=True):
+            place, k = (*d, p), k.tobytes()
+            first = self.held.get(k, place)
+            if first != place:
+                later.append(max(first, place))
+            self.held[k] = min(first, place)
+        found = np.array(later, np.int64).reshape(-1, 3)
+        return found[:, :2], found[:, 2]
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        places = np.array(list(self.held.values()), np.int64).reshape(-1, 3)
+        own = np.frombuffer(b"".join(self.held), "<u8").reshape(-1, 2)
+        self.held = {}
+        return places[:, :2], places[:, 2], own
+
+
+def _sent(doc: np.ndarray, at: np.ndarray, own: np.ndarray, bucket: np.ndarray) -> list[tuple]:
+    """A row per bucket: its windows in ranges."""
+    s = np.lexsort((at, *doc.T[::-1], bucket))
+    doc, at, own, bucket = (v[s] for v in (doc, at, own, bucket))
+    rows = []
+    if len(own):
+        same = (bucket[1:] == bucket[:-1]) & (doc[1:] == doc[:-1]).all(axis=1) & (at[1:] == at[:-1] + 1)
+        new = np.flatnonzero(np.concatenate(([True], ~same)))
+        n = np.diff(np.concatenate((new, [len(own)])))
+        for a, b in groups(bucket[new]):
+            i = new[a:b]
+            rows.append((int(bucket[i[0]]), doc[i], at[i], n[a:b], own[i[0] : i[0] + n[a:b].sum()]))
+    return rows
+
+
 def _send(estimate, buckets: int, window: int, run: int):
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        cols = [pa.array([r[0] for r in rows], pa.int32())]
+        cols += [pa.array([r[i].astype(t).tobytes() for r in rows], pa.binary()) for i, t in enumerate(_KINDS.values(), 1)]
+        return pa.RecordBatch.from_arrays(cols, names=["bucket", *_KINDS])
+
+    def taken(firsts: Firsts) -> list[tuple]:
+        doc, at, own = firsts.take()
+        return _sent(doc, at, own, (own[:, 0] % np.uint64(buckets)).astype(np.int64))
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = Firsts()
         for turn, x in enumerate(word_stretches(batches)):
             w = Windows(x, window, run)
-            keep = estimate.value.repeated(w.anchor)
-            anchor, doc, at, own = w.pick(keep)
+            anchor, doc, at, own = w.pick(estimate.value.repeated(w.anchor))
             order, again = repeats(doc, at, own)
             mark = np.zeros(len(own), bool)
             mark[order[again]] = True
+            common = ~mark & estimate.value.very_common(anchor)
+            later = firsts.meet(doc[common], at[common], own[common])
             rows = []
             # What is settled already goes along as ranges without digests.
-            d, p, n = _runs(doc[mark], at[mark])
+            d, p, n = _runs(*(np.concatenate(v) for v in zip((doc[mark], at[mark]), later, strict=True)))
             if len(d):
                 rows.append((int(d[0, 0] + turn) % buckets, d, p, n, np.zeros(0, "<u8")))
-            anchor, doc, at, own = (v[~mark] for v in (anchor, doc, at, own))
-            key = np.where(estimate.value.very_common(anchor), own[:, 0], anchor)
-            bucket = (key % np.uint64(buckets)).astype(np.int64)
-            s = np.lexsort((at, *doc.T[::-1], bucket))
-            doc, at, own, bucket = (v[s] for v in (doc, at, own, bucket))
-            if len(own):
-                same = (bucket[1:] == bucket[:-1]) & (doc[1:] == doc[:-1]).all(axis=1) & (at[1:] == at[:-1] + 1)
-                new = np.flatnonzero(np.concatenate(([True], ~same)))
-                n = np.diff(np.concatenate((new, [len(own)])))
-                for a, b in groups(bucket[new]):
-                    i = new[a:b]
-                    rows.append((int(bucket[i[0]]), doc[i], at[i], n[a:b], own[i[0] : i[0] + n[a:b].sum()]))
-            cols = [pa.array([r[0] for r in rows], pa.int32())]
-            cols += [pa.array([r[i].astype(t).tobytes() for r in rows], pa.binary()) for i, t in enumerate(_KINDS.values(), 1)]
-            yield pa.RecordBatch.from_arrays(cols, names=["bucket", *_KINDS])
+            rest = ~mark & ~common
+            rows += _sent(doc[rest], at[rest], own[rest], (anchor[rest] % np.uint64(buckets)).astype(np.int64))
+            yield batch_of(rows)
+            if len(firsts.held) > MOST_FIRSTS:
+                yield batch_of(taken(firsts))
+        yield batch_of(taken(firsts))
 
     return go
 

@@ -162,17 +162,17 @@ def test_little_padding(spark, sf_dir):
 def test_stored_tables_can_be_cleared(spark):
     from pathlib import Path
 
-    from tidemill.llm.common import _paths, clear_stored, drop_stored, shared_dir, stored, stored_so_far
+    from tidemill.llm.common import _own, clear_stored, drop_stored, shared_dir, stored, stored_so_far
 
     df = stored(spark.range(5), "five")
-    path = Path(_paths[-1].removeprefix("file://"))
+    path = Path(_own.paths[-1].removeprefix("file://"))
     assert df.count() == 5 and path.is_dir() and str(path).startswith(shared_dir(spark).removeprefix("file://"))
-    _paths[:] = _paths[-1:]
+    _own.paths[:] = _own.paths[-1:]
     assert clear_stored(spark) == 1 and not path.exists()
     kept, dropped, last = (stored(spark.range(3), n) for n in ("kept", "dropped", "last"))
     drop_stored(dropped)
-    assert _paths == [kept.stored_path, last.stored_path] and stored_so_far() == 2
-    assert clear_stored(spark, 0, but=last) == 1 and _paths == [last.stored_path] and last.count() == 3
+    assert _own.paths == [kept.stored_path, last.stored_path] and stored_so_far() == 2
+    assert clear_stored(spark, 0, but=last) == 1 and _own.paths == [last.stored_path] and last.count() == 3
 
 
 def test_shards(spark):

@@ -64,11 +64,46 @@ def test_packing_query(spark, sf_dir):
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, sub long, segment int, w string, len int, seed long, spans string, stored_path string"
 
 
+GOOD = " ".join(f"word{i} and" for i in range(60))
+ODD = [(1, None), (2, ""), (None, None), (None, ""), (3, "one"), (3, "one"), (4, GOOD), (4, GOOD), (4, GOOD + " token=abcdef99"), (None, GOOD), (5, " \t\n"), (6, "\0 \x1c"), (7, "password=hunter2 " + GOOD)]
+
+
+def worked_out(name: str) -> tuple[list[str], list[tuple]] | None:
+    """Columns of the query and their values over ``ODD``, worked out in plain Python row by row."""
+    crc = lambda t: zlib.crc32((t or "").encode())
+    if name.startswith("op1_"):
+        return ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], cases.brute_suffix(ODD, 400)
+    if name.startswith("op3_"):
+        found = [(d, cases.brute_secrets(t)) for d, t in ODD]
+        return ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"], [(d, *(sum(s[0] == k for s in b) for k in ("assign", "access", "hex")), cases.sha(",".join(f"{k}:{a}:{z}" for k, a, z in b))) for d, b in found]
+    if name.startswith("op5_"):
+        items = {1: "", 2: "one", None: "word1 and word2"}
+        own = lambda t: [(i, x) for i, x in items.items() if cases.brute_contamination(t, {i: x})[2]]
+        return ["doc_id", "n_words", "n_hit", "contaminated"], [(d, *(r := cases.brute_contamination(t, dict(own(t))))[:2], r[4]) for d, t in ODD]
+    if name.startswith("op6_"):
+        made = [(d, cases.brute_quality(t)) for d, t in ODD]
+        return ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"], [(d, *q, bad := q[0] < 50 or 2 * q[4] > q[0], not bad) for d, q in made]
+    if name.startswith("op7_"):
+        ids = [(d, i) for (d, t), i in zip(ODD, library([t for _, t in ODD]), strict=True)]
+        return ["doc_id", "n_tokens", "ids_crc32"], [(d, len(i), zlib.crc32(i.tobytes())) for d, i in ids]
+    if name.startswith("op8_"):
+        return ["doc_id", "size", "text_crc32"], [(d, len((t or "").encode()) + 1, crc(t)) for d, t in ODD]
+    if name.startswith("op9_"):  # in order of ids, the rows of one text that share an id being one document; whole texts repeat
+        seen, out = set(), []
+        for d, t in sorted(set(ODD), key=lambda r: (r[0] is not None, r[0] or 0, len(r[1] or ""))):
+            w = cases.words(t)
+            wins = [tuple(w[i : i + 20]) for i in range(len(w) - 19)]
+            gone = {j for i, x in enumerate(wins) if x in seen for j in range(i, i + 20)}
+            seen |= set(wins)
+            out += [(d, len(w), len(gone), cases.sha(" ".join(x for i, x in enumerate(w) if i not in gone)))] * ODD.count((d, t))
+        return ["doc_id", "n_words", "n_removed", "kept_sha256"], out
+    return None
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     """Folders with empty tables, and with tables of nulls, empty texts, repeated rows and columns named like the operators' own."""
-    good = " ".join(f"word{i} and" for i in range(60))
-    docs = [(i, t, *[None] * 3, 9, 1, "w", 2, 3, "s", "p") for i, t in [(1, None), (2, ""), (None, None), (None, ""), (3, "one"), (3, "one"), (4, good), (4, good), (4, good + " token=abcdef99"), (None, good), (5, " \t\n"), (6, "\0 \x1c"), (7, "password=hunter2 " + good)]]
+    docs = [(i, t, *[None] * 3, 9, 1, "w", 2, 3, "s", "p") for i, t in ODD]
     odd_pages = [(None, None, None), (1, None, "x"), (1, None, "x"), (2, "u", ""), (None, "u", "h" * 100_000)]
     items = [(None, None), (1, ""), (2, "one"), (None, "word1 and word2"), (2, "one")]
     vecs = [(None, [1.0], 1), (0, None, 1), (0, [1.0, 2.0], 1), (0, [1.0, 2.0], 1), (50, [1.0, None], 1), (50, [float("nan")], 1), (50, [], None), (7, [0.5], 9), (3, [0.25, 3.0], 0), (4, [1.0, 1.0], 2)]
@@ -100,6 +135,17 @@ def test_odd_tables(spark, tables, name):
         assert rows == []
     else:
         assert len(rows) == (5 if name == "op4_warc_fixity" else 13)
+    if want := worked_out(name):
+        assert sorted((tuple(r[c] for c in want[0]) for r in rows), key=str) == sorted(want[1], key=str)
+    elif name == "op2_ngram_join":  # three near copies of one text, by id and text; and texts without words
+        got = sorted(((r["doc_id"], r["n_links"], r["n_copies"]) for r in rows), key=str)
+        assert [g for g in got if g[0] in (4, 7)] == [(4, 2, 1), (4, 2, 2), (4, 2, 2), (7, 2, 1)]
+        assert {g[2] for g in got if g[0] == 3} == {1}
+    elif name == "op10_packing":  # far fewer ids than a window holds: one sequence, every document whole in it
+        ids = library([t for _, t in ODD])
+        assert {r["sequence_id"] for r in rows} == {0} and sorted((r["doc_id"] is None, r["doc_id"] or 0, r["length"], r["ids_crc32"]) for r in rows) == sorted((d is None, d or 0, len(i), zlib.crc32(i.tobytes())) for (d, _), i in zip(ODD, ids, strict=True))
+    elif name == "op4_warc_fixity":
+        assert Counter(r["page_id"] for r in rows) == {None: 2, 1: 2, 2: 1} and all(r["length"] > 0 for r in rows)
 
 
 def test_pipeline_keeps_one_row_of_copies(spark, tables):
@@ -113,12 +159,26 @@ def test_pipeline_keeps_one_row_of_copies(spark, tables):
 
 
 def test_run_clears_what_stages_stored(spark, tables):
-    from tidemill.llm.common import _paths
+    from tidemill.llm.common import stored_so_far
 
-    before = len(_paths)
+    before = stored_so_far()
     assert corpus_pipeline.run(spark, tables["odd"]).count()
     # The last stage's input, and what packing itself reads, are left.
-    assert len(_paths) - before <= 3
+    assert stored_so_far() - before <= 3
+
+
+def test_a_thread_clears_its_own_tables_only(spark):
+    from threading import Thread
+
+    from tidemill.llm.common import clear_stored, stored, stored_so_far
+
+    begun, other = stored_so_far(), []
+    work = Thread(target=lambda: other.append(stored(spark.range(3), "other")))
+    work.start()
+    work.join()
+    mine = stored(spark.range(5), "mine")
+    assert stored_so_far() == begun + 1 and clear_stored(spark, begun, but=mine) == 0
+    assert clear_stored(spark, begun) == 1 and other[0].count() == 3
 
 
 def test_no_shared_folder_on_a_cluster():

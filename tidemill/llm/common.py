@@ -2,6 +2,7 @@
 
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,33 +28,41 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[0]
 
 
-_paths: list[str] = []
+class _Stored(threading.local):
+    """Paths of the tables that this thread has stored, in order: a run in another thread has its own."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_own = _Stored()
 
 
 def clear_stored(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> int:
-    """Deletes the tables that this process has stored, once no result that reads them is needed any more.
+    """Deletes the tables that this thread has stored, once no result that reads them is needed any more.
 
     since: how many (see ``stored_so_far``) were there before and stay; but: a stored table that stays too.
     """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    gone = [p for p in _paths[since:] if p != getattr(but, "stored_path", None)]
+    gone = [p for p in _own.paths[since:] if p != getattr(but, "stored_path", None)]
     n = 0
     for p in gone:
-        _paths.remove(p)
+        _own.paths.remove(p)
         path = jvm.org.apache.hadoop.fs.Path(p)
         n += path.getFileSystem(conf).delete(path, True)
     return n
 
 
 def stored_so_far() -> int:
-    return len(_paths)
+    return len(_own.paths)
 
 
 def drop_stored(df: DataFrame) -> None:
     """Deletes one stored table, which nothing reads any more."""
-    at = _paths.index(df.stored_path)
-    _paths[at:] = [*_paths[at + 1 :], df.stored_path]
-    clear_stored(df.sparkSession, len(_paths) - 1)
+    if df.stored_path in _own.paths:
+        _own.paths.remove(df.stored_path)
+    _own.paths.append(df.stored_path)
+    clear_stored(df.sparkSession, len(_own.paths) - 1)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -61,7 +70,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     a lost executor costs no more than its own tasks. Like checkpoints, the tables stay until ``clear_stored`` or the cluster clears them."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _paths.append(path)
+    _own.paths.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out

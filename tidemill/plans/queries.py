@@ -77,12 +77,17 @@ def status_row(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", v.alias("version")).select("c_custkey", status.status_of(F.col("version")).alias("s")).select("c_custkey", "s.version", "s.status", F.to_json("s").alias("body"))
 
 
-def status_view(spark, sf_dir):
-    """View state of the raw response body in every event: a third is cut short, missing, followed by text or in single quotes; the others are idle, working, or without version."""
+def responses(spark, sf_dir):
+    """The raw response body in every event, as parsed: a third is cut short, missing, followed by text or in single quotes; the others are idle, working, or without version."""
     i = F.col("event_id")
     whole = F.to_json(F.struct(F.when(i % 5 == 0, "").otherwise((i % 9).cast("string")).alias("version"), F.when(i % 2 == 0, status.WORKING).otherwise(status.IDLE).alias("status")))
     body = F.when(i % 3 != 0, whole).when(i % 4 == 0, F.substring(whole, 1, 9)).when(i % 4 == 1, F.concat(whole, F.lit(" xyz"))).when(i % 4 == 2, F.translate(whole, '"', "'"))
-    return status.view_state(table(spark, sf_dir, "events").select("event_id", status.parsed(body).alias("response"))).drop("response")
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", status.parsed(body).alias("response"))
+
+
+def status_view(spark, sf_dir):
+    """View state of every event's response."""
+    return status.view_state(responses(spark, sf_dir)).drop("user_id", "ts", "response")
 
 
 def configs(spark, sf_dir):

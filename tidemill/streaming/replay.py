@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 _own: list[str] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession, name: str = "stream") -> str:
     """A new folder below spark.checkpoint.dir; where that is unset, a session on this machine alone gets a temporary one and any other is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -18,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         found = _own[0]
-    return f"{found}/stream-{uuid.uuid4().hex}"
+    return f"{found}/{name}-{uuid.uuid4().hex}"
 
 
 def table_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:

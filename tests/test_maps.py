@@ -1,6 +1,7 @@
-"""Outages, tile pyramids, interpolation and sketches against plain Python."""
+"""Outages, tile pyramids, interpolation, sketches and regions against plain Python."""
 
 from datetime import datetime, timedelta
+from fractions import Fraction
 from math import asinh, ceil, floor, nan, pi, radians, tan
 import random
 
@@ -12,6 +13,7 @@ from tidemill.operators import sketches
 from tidemill.operators.interpolate import WEIGHT, interpolate
 from tidemill.operators.outages import outages
 from tidemill.operators.pyramid import in_box, tile_sums, write_pyramid
+from tidemill.operators.regions import within_join
 
 ZERO = datetime(2024, 1, 1)
 
@@ -164,3 +166,29 @@ def test_quantile_sketches(spark, tmp_path, error):
     for share in shares:
         value = exact[max(1, ceil(share * len(values))) - 1]
         assert abs(got[share] - value) <= error * abs(value) * (1 + 1e-9)
+
+
+def lies_in(x, y, ring) -> bool:
+    odd = False
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+        if (y1 > y) != (y2 > y) and Fraction(x) < x1 + Fraction((y - y1) * (x2 - x1), y2 - y1):
+            odd = not odd
+    return odd
+
+
+def test_points_in_regions(spark):
+    rng = random.Random(8)
+    rings = [[(rng.randint(-r, r) + cx, rng.randint(-r, r) + cy) for _ in range(rng.randint(3, 7))] for r in (3, 10, 40, 200, 3000, 10**8) for cx in (0, 90) for cy in (0, -70)]
+    rings += [[(0, 0), (10, 0), (10, 10), (0, 10)], [(10, 0), (20, 0), (20, 10), (10, 10), (10, 0)], [], [(1, 1)], [(0, 0), (5, 5)]]
+    regions = spark.createDataFrame([*((i, [{"x": x, "y": y} for x, y in r]) for i, r in enumerate(rings)), (90, None), (91, [None, {"x": 0, "y": 0}, {"x": 5, "y": 9}]), (92, [{"x": None, "y": 0}, {"x": 0, "y": 0}, {"x": 5, "y": 9}])], "a int, ring array<struct<x:long,y:long>>")
+    spots = [(rng.randint(-60, 120), rng.randint(-120, 60)) for _ in range(150)] + [(x, y) for x in (0, 10, 20) for y in (0, 5, 10)] + [(5, 5)] * 40 + [(10**7, -(10**7)), (None, 1), (1, None)]
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(spots)], "id int, x long, y long")
+    out = within_join(points, regions)
+    got = sorted((r["a"]["id"], r["b"]["a"]) for r in out.collect())
+    want = [(i, j) for i, (x, y) in enumerate(spots) for j, r in enumerate(rings) if None not in (x, y) and lies_in(x, y, r)]
+    assert got == want and len({j for _, j in want}) > 12
+    squares = {(i, j) for i, j in want if j in (24, 25) and spots[i] == (10, 5)}
+    assert {j for _, j in squares} == {25}
+    plan = out._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert within_join(points.limit(0), regions).count() == within_join(points, regions.limit(0)).count() == 0

@@ -11,6 +11,7 @@ from tidemill.operators.islands import islands
 from tidemill.operators.outages import outages
 from tidemill.operators.overlap import overlap_join
 from tidemill.operators.pyramid import tile_sums, write_pyramid
+from tidemill.operators.regions import within_join
 from tidemill.plans.queries import responses
 from tidemill.sources.tables import table
 from tidemill.streaming import sessions as windows
@@ -21,6 +22,8 @@ from tidemill.streaming.replay import replayed, shared_folder, table_stream
 TIMEOUT, DELAY, DAYS = 14_400, 600, 8_400
 #: Zooms of the pyramid and of the tiles between whose stations is interpolated.
 FINEST, STATIONS_AT = 8, 5
+#: The zoom whose pixels are the corners of regions.
+REGIONS_AT = 8
 
 
 def status_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +74,9 @@ def _placed(rows: DataFrame, lon: str, lat: str, zoom: int) -> DataFrame:
 
 
 _EVENT_AT, _CUSTOMER_AT = ("event_id * 7919", "event_id * 31 + user_id * 1047"), ("c_custkey * 6113", "c_custkey * 977")
+#: Suppliers' places, how far their regions reach, and the regions' corners, as SQL.
+_SUPPLIER_AT, _REACH = ("s_suppkey * 4513", "s_suppkey * 1933"), "s_suppkey * 37 % 30 * 100 + 200"
+_DART = ("x", "y - r"), ("x + r", "y + r"), ("x", "y + shiftright(r, 2)"), ("x - r", "y + r")
 
 
 def tile_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +107,17 @@ def daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.withColumn("estimate", F.round("estimate", 6)).join(different, by)
 
 
-QUERIES = {f.__name__: f for f in (status_transitions, session_windows, hourly_windows, activity_islands, latest_orders, order_overlaps, status_outages, tile_pyramid, station_estimates, daily_sketches)}
+def events_in_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with the suppliers in whose regions it is. A supplier's region is a dart, which is hollow to the south, of a size that goes by the key."""
+    zoom = REGIONS_AT + PIXEL_BITS
+    events = _placed(table(spark, sf_dir, "events"), *_EVENT_AT, zoom).select("event_id", "x", "y")
+    suppliers = _placed(table(spark, sf_dir, "supplier"), *_SUPPLIER_AT, zoom).withColumn("r", F.expr(_REACH))
+    corner = lambda x, y: F.struct(F.expr(x).alias("x"), F.expr(y).alias("y"))
+    darts = suppliers.select("s_suppkey", F.array(*(corner(x, y) for x, y in _DART)).alias("ring"))
+    return within_join(events, darts).select("a.event_id", "b.s_suppkey")
+
+
+QUERIES = {f.__name__: f for f in (status_transitions, session_windows, hourly_windows, activity_islands, latest_orders, order_overlaps, status_outages, tile_pyramid, station_estimates, daily_sketches, events_in_regions)}
 
 _TILES = """least({n} - 1, floor((({lon}) % 36000 / 100.0::DOUBLE - 180 + 180) / 360 * {n}))::BIGINT AS x, least({n} - 1, greatest(0,
   floor((0.5 - ln((1 + sin(radians(({lat}) % 17000 / 100.0::DOUBLE - 85))) / (1 - sin(radians(({lat}) % 17000 / 100.0::DOUBLE - 85)))) / (4 * pi())) * {n})))::BIGINT AS y"""
@@ -143,4 +159,9 @@ ORACLE_SQL = {
       v AS (SELECT event_type, share::DOUBLE AS share, row_number() OVER (PARTITION BY event_type, share ORDER BY value) AS rank, count(*) OVER (PARTITION BY event_type, share) AS n, value FROM events, (VALUES (0.5), (0.95)) s(share))
       SELECT event_type, share, round(2 * pow({_FACTOR!r}::DOUBLE, ceil(ln(value) / ln({_FACTOR!r}::DOUBLE))) / ({_FACTOR!r}::DOUBLE + 1), 6) AS estimate, n_ids
       FROM v JOIN i USING (event_type) WHERE rank = greatest(1, ceil(share * n))""",
+    "events_in_regions": f"""WITH t AS (SELECT event_id, {_TILES.format(lon=_EVENT_AT[0], lat=_EVENT_AT[1], n=2 ** (REGIONS_AT + PIXEL_BITS))} FROM events),
+      s AS (SELECT s_suppkey, {_REACH} AS r, {_TILES.format(lon=_SUPPLIER_AT[0], lat=_SUPPLIER_AT[1], n=2 ** (REGIONS_AT + PIXEL_BITS))} FROM supplier),
+      e AS ({" UNION ALL ".join(f"SELECT s_suppkey, {a} AS x1, {b} AS y1, {c} AS x2, {d} AS y2 FROM s" for (a, b), (c, d) in zip(_DART, _DART[1:] + _DART[:1], strict=True)).replace("shiftright(r, 2)", "(r >> 2)")})
+      SELECT event_id, s_suppkey FROM t, e WHERE (y1 > y) <> (y2 > y) AND CASE WHEN y2 > y1 THEN (x - x1) * (y2 - y1) < (y - y1) * (x2 - x1) ELSE (x - x1) * (y2 - y1) > (y - y1) * (x2 - x1) END
+      GROUP BY event_id, s_suppkey HAVING count(*) % 2 = 1""",
 }

@@ -1,6 +1,7 @@
 """Tokens, range coder, packing, sharding, WARC and the pipeline."""
 
 from collections import Counter
+import hashlib
 import random
 import zlib
 
@@ -250,6 +251,22 @@ def test_warc(spark):
     assert not none.count() and not warc.audit(warc.tree(warc.leaves(none), "t"), warc.tree(warc.leaves(none), "u")).count()
 
 
+@pytest.mark.parametrize("segments", [[], [0], [5], [0, 1], [0, 2, 3, 26, 27, 80], list(range(100))])
+def test_warc_root_is_a_tree_over_segments(spark, segments):
+    nodes = [(s, level, 0, f"h{s}-{level}") for s in segments for level in (0, 1)]
+    got = warc.root(spark.createDataFrame(nodes, "segment int, level int, node long, hash string"), 3)
+    level = {s: f"h{s}-1" for s in segments}
+    most = max(segments, default=0)
+    while most:
+        up = {}
+        for s in sorted(level):
+            up.setdefault(s // 3, []).append(f"{s}:{level[s]}")
+        level = {s: hashlib.sha256(",".join(c).encode()).hexdigest() for s, c in up.items()}
+        most //= 3
+    assert got == (level[0] if segments else "")
+    assert len(level) <= 1
+
+
 def test_warc_equal_roots_end_the_audit(spark, monkeypatch):
     a = warc.tree(warc.leaves(warc.placed(warc.metadata(warc.records(pages(spark))), "a", 3)), "ta", 4)
     monkeypatch.setattr(warc, "stored", None)  # nothing is stored, as no level is compared

@@ -101,10 +101,18 @@ def top_level(nodes: DataFrame) -> int:
     return nodes.agg(F.max("level")).first()[0] or 0
 
 
-def root(nodes: DataFrame) -> str:
-    """The replica's root, over the roots of its segments (as many as ``segments_for`` says)."""
-    found = nodes.filter(F.col("level") == top_level(nodes)).agg(F.sort_array(F.collect_list(F.struct("segment", "node", "hash"))).alias("c"))
-    return found.select(F.sha2(F.array_join("c.hash", ",").cast("binary"), 256)).first()[0]
+def root(nodes: DataFrame, fanout: int = FANOUT) -> str:
+    """The replica's root: a tree over the roots of its segments, so that no task has more than ``fanout`` of them. Empty for a tree without nodes."""
+    level = nodes.filter(F.col("level") == top_level(nodes)).select(F.col("segment").cast("long").alias("node"), "hash")
+    most = level.agg(F.max("node")).first()[0] or 0
+    while most:
+        children = F.sort_array(F.collect_list(F.struct("node", "hash")))
+        up = level.groupBy(F.floor(F.col("node") / fanout).alias("node")).agg(children.alias("c"))
+        both = F.transform("c", lambda x: F.concat_ws(":", x["node"].cast("string"), x["hash"]))
+        level = up.select("node", F.sha2(F.array_join(both, ",").cast("binary"), 256).alias("hash"))
+        most //= fanout
+    found = level.first()
+    return found["hash"] if found else ""
 
 
 def audit(a: DataFrame, b: DataFrame, fanout: int = FANOUT) -> DataFrame:
@@ -116,7 +124,7 @@ def audit(a: DataFrame, b: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """
     empty = a.limit(0).select("segment", F.col("node").alias("seq"), F.lit("").alias("state"))
     top = max(top_level(t) for t in (a, b))
-    if root(a) == root(b):
+    if root(a, fanout) == root(b, fanout):
         return empty
     suspects = None
     for level in range(top, -1, -1):

@@ -13,6 +13,7 @@ from tidemill.operators.overlap import overlap_join
 from tidemill.operators.pyramid import tile_sums, write_pyramid
 from tidemill.operators.regions import within_join
 from tidemill.plans.queries import responses
+from tidemill.sources import polling
 from tidemill.sources.tables import table
 from tidemill.streaming import sessions as windows
 from tidemill.streaming import status
@@ -117,7 +118,29 @@ def events_in_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return within_join(events, darts).select("a.event_id", "b.s_suppkey")
 
 
-QUERIES = {f.__name__: f for f in (status_transitions, session_windows, hourly_windows, activity_islands, latest_orders, order_overlaps, status_outages, tile_pyramid, station_estimates, daily_sketches, events_in_regions)}
+def _page_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, as the responses of their hosts, recorded as a round and read again as a stream."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", _HOST, 1).alias("host"), F.col("html").alias("body"))
+    folder = shared_folder(spark, "polls")
+    polling.record(pages, folder)
+    return polling.polls(spark, folder, pages.schema)
+
+
+_HOST = "^[a-z]+://([^/]+)"
+
+
+def page_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every recorded response with the length and the digest of its body, as the stream over the recording gives it."""
+    return replayed(_page_stream(spark, sf_dir).select("page_id", "host", F.length("body").alias("n_chars"), F.md5("body").alias("body_md5")))
+
+
+def latest_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By host: responses, those without a body, and the digest of the latest."""
+    told = replayed(_page_stream(spark, sf_dir).select("page_id", "host", F.md5("body").alias("body")))
+    return polling.latest(told, "host", "page_id", "body")
+
+
+QUERIES = {f.__name__: f for f in (page_polls, latest_polls, status_transitions, session_windows, hourly_windows, activity_islands, latest_orders, order_overlaps, status_outages, tile_pyramid, station_estimates, daily_sketches, events_in_regions)}
 
 _TILES = """least({n} - 1, floor((({lon}) % 36000 / 100.0::DOUBLE - 180 + 180) / 360 * {n}))::BIGINT AS x, least({n} - 1, greatest(0,
   floor((0.5 - ln((1 + sin(radians(({lat}) % 17000 / 100.0::DOUBLE - 85))) / (1 - sin(radians(({lat}) % 17000 / 100.0::DOUBLE - 85)))) / (4 * pi())) * {n})))::BIGINT AS y"""
@@ -135,6 +158,10 @@ ORACLE_SQL = {
     "session_windows": f"WITH {_ISLANDS} SELECT user_id, started, ended + INTERVAL {TIMEOUT} SECOND AS ended, n, highest FROM islands, passed WHERE epoch_us(ended) + {TIMEOUT * 1_000_000} <= mark",
     "hourly_windows": f"""WITH {_ISLANDS}, hours AS (SELECT event_type, date_trunc('hour', ts) AS started, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY ALL)
       SELECT event_type, started, n, first_id FROM hours, passed WHERE epoch_us(started) + 3600000000 <= mark""",
+    "page_polls": f"SELECT page_id, regexp_extract(url, '{_HOST}', 1) AS host, CAST(length(html) AS INT) AS n_chars, md5(html) AS body_md5 FROM pages",
+    "latest_polls": f"""WITH h AS (SELECT page_id, regexp_extract(url, '{_HOST}', 1) AS host, md5(html) AS body FROM pages),
+      r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id DESC NULLS LAST, body DESC NULLS LAST) AS k, count(*) OVER (PARTITION BY host) AS n, count(*) FILTER (body IS NULL) OVER (PARTITION BY host) AS n_failed FROM h)
+      SELECT host, n, n_failed, page_id, body FROM r WHERE k = 1""",
     "activity_islands": f"WITH {_ISLANDS} SELECT user_id, started, ended, n FROM islands",
     "latest_orders": f"""SELECT event_id, user_id AS custkey, ts, o_orderkey, ordered FROM events ASOF LEFT JOIN
       (SELECT o_custkey, ordered, max(o_orderkey) AS o_orderkey FROM (SELECT *, o_orderdate + INTERVAL {DAYS} DAY AS ordered FROM orders) GROUP BY ALL) o ON user_id = o_custkey AND ts >= ordered""",

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from oracle import assert_same
 from pyspark.sql import functions as F
+import xxhash
 
 from tidemill.llm import decontaminate, quality, registry, secrets
 from tidemill.llm.common import stored
@@ -24,6 +25,42 @@ def test_quality_features(spark):
         assert r[6] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
 
 
+def _windows_of_one_hash() -> tuple[list[str], list[str]]:
+    """Two windows of different words with one 64-bit hash: the second word of the second undoes what the first one changed."""
+    p1, p2, p5, top = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C5, 2**64 - 1
+    turn = lambda x, n: ((x << n) | (x >> (64 - n))) & top
+    mixed = lambda seed, word: (seed + p5 + 8 & top) ^ (turn(int.from_bytes(word, "little") * p2 & top, 31) * p1 & top)
+    seed = lambda word: xxhash.xxh64_intdigest(word, 42)
+    first = [b"word0000", b"word0001", b"end"]
+    want = mixed(seed(first[0]), first[1])
+    for i in range(1_000_000):
+        start = b"other%07d" % i
+        back = (want ^ (seed(start) + p5 + 8 & top)) * pow(p1, -1, 2**64) & top
+        second = (turn(back, 33) * pow(p2, -1, 2**64) & top).to_bytes(8, "little")
+        if all(0x21 <= b < 0x7F for b in second):
+            return [w.decode() for w in first], [start.decode(), second.decode(), "end"]
+    raise AssertionError
+
+
+def test_windows_that_share_a_hash_are_not_repeats(spark):
+    a, b = _windows_of_one_hash()
+    filler = [f"f{i}" for i in range(60)]
+    texts = [" ".join([*a, *filler, *b]), " ".join([*a, *filler, *b, "x", *a]), " ".join([*b, *a, *b, *a, *filler])]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    one = df.limit(1).select(*(F.xxhash64(*(F.lit(w) for w in ws)) for ws in (a, b))).first()
+    assert a != b and one[0] == one[1]
+    got = {r["text"]: r[quality.P + "n_repeat_words"] for r in quality.with_features(df).collect()}
+    assert got == {t: cases.brute_quality(t)[4] for t in texts} and got[texts[0]] == 0 and got[texts[1]] == 6
+
+
+def test_windows_of_long_texts(spark):
+    """Four words in ten of 200,000 are of three kinds, so some windows repeat; the hashes that are sorted have 32 bits, so some of the others share one."""
+    rng = random.Random(8)
+    text = " ".join(rng.choice("abc") if rng.random() < 0.4 else str(rng.randint(0, 10**7)) for _ in range(200_000))
+    got = quality.with_features(spark.createDataFrame([(text,)], "text string")).first()
+    assert got[quality.P + "n_repeat_words"] == cases.brute_quality(text)[4] > 1000
+
+
 def test_quality_keeps_good_rows(spark):
     docs = cases.frame(spark)
     kept = quality.keep_good(docs)

@@ -11,7 +11,7 @@ base conditions stand before it.
 
 Defined cases: a null or empty text has no words and fails the base; very long texts are looked through whole; repeated rows each
 get their own equal result; an empty table gives an empty result; columns other than the text don't matter and are kept as they are.
-Three-word windows are compared by 64-bit hashes within one document.
+Three-word windows are found by 64-bit hashes within one document and compared by their words.
 """
 
 from dataclasses import dataclass
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import stored
 
-#: White space between words, as a pattern.
-SPACE = r"[\x20\x09-\x0D]+"
+#: White space between words, as a pattern and as its characters.
+SPACE, BLANKS = r"[\x20\x09-\x0D]+", "\x20\x09\x0a\x0b\x0c\x0d"
 #: A word of one to three letters and nothing else; of such words prose has many, and lists and junk few.
 SHORT = r"(?<![^\x20\x09-\x0D])\p{L}{1,3}(?![^\x20\x09-\x0D])"
 #: Prefix of the columns that hold what the rules look at.
@@ -39,8 +39,8 @@ def with_features(docs: DataFrame, column: str = "text") -> DataFrame:
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))
     c = lambda name: F.col(P + name)
     df = docs.withColumns({
-        P + "words": F.filter(F.split(text, SPACE), lambda w: w != ""),
-        P + "lines": F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, SPACE, "") != ""),
+        P + "words": F.when(F.btrim(text, F.lit(BLANKS)) == "", F.array().cast("array<string>")).otherwise(F.split(F.btrim(text, F.lit(BLANKS)), SPACE)),
+        P + "lines": F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""),
         P + "n_symbols": _without(text, r"[#*$%&|<>]+").cast("long"),
         P + "n_short": F.regexp_count(text, F.lit(SHORT)),
     })
@@ -52,12 +52,17 @@ def with_features(docs: DataFrame, column: str = "text") -> DataFrame:
         P + "n_distinct": F.size(F.array_distinct(c("words"))),
         P + "n_dup_lines": (F.size(c("lines")) - F.size(F.array_distinct(c("lines")))).cast("long"),
         P + "grams": F.transform(F.slice(c("words"), F.lit(1), F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(c("words"), i + 1), F.get(c("words"), i + 2))),
-    }).drop(P + "words", P + "lines")
-    # Only documents with a repeated window go on to sort: windows by hash, equal neighbours, back in place.
-    placed = F.array_sort(F.transform(c("grams"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.withColumn(P + "placed", F.when(F.size(F.array_distinct(c("grams"))) < F.size(c("grams")), placed)).drop(P + "grams")
-    same = lambda x, k: x["h"] == F.get(c("placed"), k)["h"]
-    df = df.withColumn(P + "at", F.array_sort(F.transform(F.filter(c("placed"), lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))).drop(P + "placed")
+    }).drop(P + "lines")
+    # Only documents with a repeated hash go on to sort, 32 bits of it above a place's 31: equal neighbours are compared by their words.
+    keys = F.transform(c("grams"), lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 32), 31).bitwiseOR(i.cast("long")))
+    df = df.withColumn(P + "placed", F.when(F.size(F.array_distinct(c("grams"))) < F.size(c("grams")), F.sort_array(keys))).drop(P + "grams")
+    high, place = lambda x: F.shiftright(x, 31), lambda x: x.bitwiseAND(2**31 - 1).cast("int")
+    near = F.filter(c("placed"), lambda x, k: (high(x) == high(F.get(c("placed"), k - 1))) | (high(x) == high(F.get(c("placed"), k + 1))))
+    word = lambda x, k: F.get(c("words"), place(x) + k)
+    told = lambda x: F.struct(F.struct(high(x).alias("h"), word(x, 0).alias("a"), word(x, 1).alias("b"), word(x, 2).alias("c")).alias("w"), place(x).alias("i"))
+    df = df.withColumn(P + "told", F.array_sort(F.transform(near, told))).drop(P + "placed", P + "words")
+    same = F.filter(c("told"), lambda x, k: (x["w"] == F.get(c("told"), k - 1)["w"]) | (x["w"] == F.get(c("told"), k + 1)["w"]))
+    df = df.withColumn(P + "at", F.sort_array(F.transform(same, lambda x: x["i"]))).drop(P + "told")
     steps = F.transform(c("at"), lambda x, k: F.least(F.lit(3), F.coalesce(F.get(c("at"), k + 1) - x, F.lit(3))))
     return df.withColumn(P + "n_repeat_words", F.coalesce(F.aggregate(steps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")).drop(P + "at")
 

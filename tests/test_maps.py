@@ -133,6 +133,32 @@ def test_interpolation(spark, zoom):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("zoom", [0, 1, 3])
+def test_pairs_and_transforms_agree(spark, zoom):
+    rng, wide = random.Random(9), 256 * 2**zoom
+    place = lambda: rng.choice((0, 255, wide - 1, rng.randrange(wide)))
+    stations = spark.createDataFrame([(place(), place(), rng.choice((1, 10**5, 10**18)) * rng.randint(-9, 9)) for _ in range(700)], "px long, py long, value long")
+    targets = spark.createDataFrame([(place(), place()) for _ in range(300)], "px long, py long")
+    one, other = (ordered(interpolate(targets, stations, zoom, pairs=pairs).collect()) for pairs in (10**12, 0))
+    assert one == other and len(one) == 300
+
+
+def test_interpolation_in_a_crowded_tile(spark):
+    # 40,000 places meet 30,000 stations: 1.2 billion pairs, none of which may become a row.
+    value = F.expr("(id * 7919 % 2000003 - 1000000) * if(id % 7 = 0, 100000000000, 1)")
+    stations = spark.range(30_000).select(F.expr("256 + id % 150").alias("px"), F.expr("256 + id div 150").alias("py"), value.alias("value"))
+    targets = spark.range(40_000).select("id", F.expr("256 + id % 200").alias("px"), F.expr("256 + id div 200").alias("py"))
+    out = interpolate(targets, stations, 3)
+    assert "CoGroup" in out._jdf.queryExecution().toString()
+    got = {r["id"]: (r["stations"], r["estimate"]) for r in out.collect()}
+    assert len(got) == 40_000
+    known = [tuple(r) for r in stations.collect()]
+    for i in (0, 77, 12_345, 39_999):
+        weights = [(WEIGHT // ((x - 256 - i % 200) ** 2 + (y - 256 - i // 200) ** 2 + 1), v) for x, y, v in known]
+        wv, wn = sum(w * v for w, v in weights), sum(w for w, _ in weights)
+        assert got[i] == (30_000, abs(wv) // wn * (1 if wv >= 0 else -1))
+
+
 def test_distinct_sketches(spark, tmp_path):
     sizes = {"few": 40, "some": 3000, "many": 60_000}
     rows = spark.createDataFrame([(k, n) for k, n in sizes.items()], "k string, n int").withColumn("v", F.explode(F.sequence(F.lit(1), "n"))).withColumn("again", F.explode(F.array(F.lit(1), F.lit(2))))

@@ -218,3 +218,27 @@ def test_points_in_regions(spark):
     plan = out._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert within_join(points.limit(0), regions).count() == within_join(points, regions.limit(0)).count() == 0
+
+
+def test_pairs_of_points_and_regions_are_not_shuffled(spark):
+    # Every point is in every region, so pairs are a hundred times the points; 7 corners go by arrays, 4 by columns.
+    points = spark.range(4000).select("id", F.expr("id % 50").alias("x"), F.expr("id div 50 % 50").alias("y"))
+    square = [(-900, -900), (900, -900), (900, 900), (-900, 900)]
+    for corners in (square, [*square, (-900, 300), (-900, 0), (-900, -300)]):
+        ring = "array(" + ", ".join(f"named_struct('x', {x}L, 'y', {y}L)" for x, y in corners) + ")"
+        regions = spark.range(100).select(F.col("id").alias("k"), F.expr(ring).alias("ring"))
+        out = within_join(points, regions).select("a.id", "b.k")
+        assert out.count() == 400_000 == out.distinct().count()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Join") == 1 + plan.count("Union")  # no join takes another's pairs
+
+
+def test_wide_and_thin_regions(spark):
+    rng = random.Random(12)
+    at = lambda: (rng.randint(-500, 500), rng.randint(-500, 500))
+    rings = [[at() for _ in range(n)] for n in (3, 4, 5, 6, 7, 12, 40) for _ in range(3)] + [[(-500, 0), (500, 1), (500, 2)], [(0, -500), (1, 500), (0, 500), (-1, 0)]]
+    regions = spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in r]) for i, r in enumerate(rings)], "k int, ring array<struct<x:int,y:int>>")
+    spots = [at() for _ in range(200)] + [p for r in rings for p in r]
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(spots)], "id int, x long, y long")
+    got = sorted(tuple(r) for r in within_join(points, regions).select("a.id", "b.k").collect())
+    assert got == [(i, j) for i, (x, y) in enumerate(spots) for j, r in enumerate(rings) if lies_in(x, y, r)]

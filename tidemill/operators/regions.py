@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Cells are 2^level wide, for these levels; a region's are those of which 16 are at least as wide and high as it is.
 LEVELS = range(0, 29, 2)
-#: Edges that a region may have to be covered and compared by columns; those with more go by functions of arrays, which aren't compiled.
-FEW = 6
+#: Edges that a region may have to be covered and compared by columns; those with more go by functions of arrays, which aren't compiled. More would make planning slow.
+FEW = 4
 #: Partitions for each core in which regions are covered, as a file of few regions would be one task.
 SPREAD = 4
 _ENDS = ("x1", "y1", "x2", "y2")
